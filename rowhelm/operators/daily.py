@@ -23,7 +23,8 @@ class DailyProfile:
     ``volume``     dataset, day, day_idx, row_count
     ``columns``    dataset, day, day_idx, column, row_count, null_count, null_rate, mean,
                    min, max, std -- and one row per day with a NULL column for the table
-    ``categories`` dataset, day, day_idx, column, key, cnt, share -- observed values only
+    ``categories`` dataset, day, day_idx, n_days, column, key, cnt, share -- observed
+                   values only; ``n_days`` is the number of days of the dataset
     """
 
     volume: DataFrame
@@ -111,7 +112,7 @@ def daily_category_share(
     name: str = "dataset",
     volume: DataFrame | None = None,
 ) -> DataFrame:
-    """``(dataset, day, day_idx, column, key, cnt, share)`` of the observed values.
+    """``(dataset, day, day_idx, n_days, column, key, cnt, share)`` of the observed values.
 
     ``share`` is relative to the non-null rows of the day. That total is summed up from
     the value counts, not taken by a window, so the values of one busy day never have to
@@ -125,11 +126,13 @@ def daily_category_share(
         F.col(DAY).alias("day"), "col_no", "key", "cnt"
     )
     totals = counts.groupBy("day", "col_no").agg(F.sum("cnt").alias("filled"))
-    totals = totals.join(volume.select("dataset", "day", "day_idx"), "day")
+    days = volume.withColumn("n_days", F.count(F.lit(1)).over(Window.partitionBy("dataset")))
+    totals = totals.join(days.select("dataset", "day", "day_idx", "n_days"), "day")
     return counts.join(totals, ["day", "col_no"]).select(
         "dataset",
         "day",
         "day_idx",
+        "n_days",
         column_name(columns).alias("column"),
         "key",
         "cnt",
@@ -137,16 +140,13 @@ def daily_category_share(
     )
 
 
-def with_category_text(df: DataFrame, frame: DataFrame, key: str = "key", text: str = "category") -> DataFrame:
-    """Replace the value keys in a small frame by the values of ``df`` they stand for."""
+def with_category_text(df: DataFrame, frame: DataFrame) -> DataFrame:
+    """Add ``category``, the value of ``df`` behind each ``column`` and ``key`` of a small frame."""
     names = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
     numbers = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)])
-    keys = frame.filter(F.col(key).isNotNull()).select("column", F.col(key).alias("key")).distinct()
-    keys = keys.withColumn("col_no", numbers[F.col("column")])
-    texts = spelled_out(df, names, keys).select(
-        "column", F.col("key").alias(key), F.col("value").alias("_text")
-    )
-    return frame.join(texts, ["column", key], "left").withColumn(text, F.col("_text")).drop("_text")
+    return spelled_out(df, names, frame.withColumn("col_no", numbers[F.col("column")])).withColumnRenamed(
+        "value", "category"
+    ).drop("col_no")
 
 
 def daily_profile(
