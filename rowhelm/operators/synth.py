@@ -55,7 +55,7 @@ def synth_products(ids: DataFrame, key: str = "id", seed: int = 42) -> DataFrame
         .withColumn("category", category)
         .select(
             "product_no",
-            F.concat(F.lit("PROD_"), F.lpad(number.cast("string"), 12, "0")).alias("product_id"),
+            F.format_string("PROD_%04d", number).alias("product_id"),
             F.concat(F.lit("Product "), number.cast("string")).alias("name"),
             "category",
             F.round(low + (high - low) * hash_fraction(seed, "price", number), 2).alias("base_price"),
@@ -72,31 +72,33 @@ def synth_daily_volume(days: DataFrame, base: Column | int = 1000, seed: int = 4
 
 
 def synth_orders(volume: DataFrame, seed: int = 42) -> DataFrame:
-    """``order_count`` orders for each day of :func:`synth_daily_volume`.
+    """``order_count`` orders for each day of :func:`synth_daily_volume`, numbered through.
 
     A day is cut into blocks that are spread over the cluster before they are filled, so
     that a single busy day is not written by one task.
     """
+    earlier = Window.partitionBy(F.lit(1)).orderBy("day_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = F.floor((F.col("order_count") - 1) / ORDER_BLOCK)
     blocks = (
-        volume.filter(F.col("order_count") > 0)
-        .select("day", "day_idx", "order_count", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
-        .repartition("day_idx", "block")
+        volume.withColumn("offset", F.coalesce(F.sum("order_count").over(earlier), F.lit(0)))
+        .filter(F.col("order_count") > 0)
+        .select("day", "offset", "order_count", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+        .repartition("day", "block")
     )
-    start = F.col("block") * ORDER_BLOCK
-    end = F.least(start + ORDER_BLOCK, F.col("order_count")) - 1
-    orders = blocks.select("day", "day_idx", F.explode(F.sequence(start, end)).alias("order_in_day"))
-    key = [F.col("day_idx"), F.col("order_in_day")]
-    minute = _uniform_int(hash_fraction(seed, "minute", *key), 0, 24 * 60 - 1)
+    start = F.col("block") * ORDER_BLOCK + 1
+    end = F.least(start + ORDER_BLOCK - 1, F.col("order_count"))
+    orders = blocks.select("day", "offset", F.explode(F.sequence(start, end)).alias("in_day")).select(
+        "day", (F.col("offset") + F.col("in_day")).alias("order_no")
+    )
+    number = F.col("order_no")
+    customer = _uniform_int(hash_fraction(seed, "customer", number), 1, CUSTOMERS)
+    minute = _uniform_int(hash_fraction(seed, "minute", number), 0, 24 * 60 - 1)
     return orders.select(
-        F.concat_ws("_", F.lit("ORD"), F.col("day_idx").cast("string"), F.col("order_in_day").cast("string")).alias("order_id"),
-        F.concat(
-            F.lit("CUST_"),
-            F.lpad(_uniform_int(hash_fraction(seed, "customer", *key), 1, CUSTOMERS).cast("string"), 5, "0"),
-        ).alias("customer_id"),
+        F.format_string("ORD_%06d", number).alias("order_id"),
+        F.format_string("CUST_%05d", customer).alias("customer_id"),
         (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(mins=minute.cast("int"))).alias("order_date"),
-        _pick(hash_fraction(seed, "status", *key), STATUS_WEIGHTS).alias("status"),
-        _pick(hash_fraction(seed, "items", *key), ITEM_COUNT_WEIGHTS).cast("bigint").alias("item_count"),
+        _pick(hash_fraction(seed, "status", number), STATUS_WEIGHTS).alias("status"),
+        _pick(hash_fraction(seed, "items", number), ITEM_COUNT_WEIGHTS).cast("bigint").alias("item_count"),
     )
 
 
@@ -151,7 +153,7 @@ def synth_items(
     )
     price = F.round(F.col("base_price") * F.col("price_factor"), 2)
     return lines.join(ranked.drop("category_size"), ["category", "rank"]).select(
-        F.concat_ws("_", F.lit("ITEM"), F.col("order_id"), F.col("line").cast("string")).alias("item_id"),
+        F.format_string("ITEM_%s_%d", "order_id", "line").alias("item_id"),
         "order_id",
         "product_id",
         "quantity",
