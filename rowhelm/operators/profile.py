@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,11 @@ from rowhelm.types import datetime_columns, fixed_width, numeric_columns, text_c
 NUMERIC_STATS = ["mean", "std", "min_value", "max_value"]
 QUARTILES = {0.25: "percentile_25", 0.5: "percentile_50", 0.75: "percentile_75"}
 
+# What to compute: quartiles and distinct values cost passes of their own.
+ALL_STATISTICS = ("numeric", "quartiles", "text", "top_values", "datetime")
+COMPARED_STATISTICS = ("numeric", "text")
+RULE_STATISTICS = ("numeric",)
+
 
 @dataclass(frozen=True)
 class TableSummary:
@@ -94,9 +100,12 @@ def numeric_profile(df: DataFrame) -> DataFrame:
 
 
 def text_profile(df: DataFrame, k: int = 5) -> DataFrame:
-    """``(column, unique_count, unique_percent, avg_length, top_values)``."""
+    """``(column, unique_count, unique_percent, avg_length, top_values)``; k = 0 leaves the last out."""
     names = text_columns(df)
     frequency = value_frequency(df, names)
+    distinct = distinct_stats(frequency, names)
+    if k == 0:
+        return distinct
     top = (
         spelled_out(df, names, most_common(frequency, k))
         .groupBy("col_no")
@@ -109,7 +118,7 @@ def text_profile(df: DataFrame, k: int = 5) -> DataFrame:
             ),
         )
     )
-    return distinct_stats(frequency, names).join(top, "column")
+    return distinct.join(top, "column")
 
 
 def datetime_profile(df: DataFrame) -> DataFrame:
@@ -131,36 +140,40 @@ def datetime_profile(df: DataFrame) -> DataFrame:
     return rows_from_structs(df.agg(*aggregates), [], structs).filter(F.col("min_date").isNotNull())
 
 
-_EMPTY = {
-    "numeric": "column string, mean double, std double, min_value double, max_value double, "
-    "percentile_25 double, percentile_50 double, percentile_75 double",
-    "text": "column string, unique_count bigint, unique_percent double, avg_length double, "
-    "top_values array<struct<value: string, count: bigint>>",
-    "datetime": "column string, min_date string, max_date string, date_range_days bigint",
+# The statistics of a column profile that depend on its type.
+TYPED_STATISTICS = {
+    **dict.fromkeys(NUMERIC_STATS + list(QUARTILES.values()), "double"),
+    "unique_count": "bigint",
+    "unique_percent": "double",
+    "top_values": "array<struct<value: string, count: bigint>>",
+    "avg_length": "double",
+    "min_date": "string",
+    "max_date": "string",
+    "date_range_days": "bigint",
 }
 
 
-def column_profile(df: DataFrame, name: str = "dataset") -> DataFrame:
-    """All statistics of all columns, by type; a statistic that does not apply is NULL.
+def column_profile(df: DataFrame, name: str = "dataset", statistics: Sequence[str] = ALL_STATISTICS) -> DataFrame:
+    """The statistics of all columns; one that does not apply or is not asked for is NULL.
 
     The joined frames have one row per column of the table.
     """
-
-    def part(kind: str, names: list[str], build) -> DataFrame:
-        return build(df) if names else df.sparkSession.createDataFrame([], _EMPTY[kind])
-
-    return (
-        column_nulls(df)
-        .join(part("numeric", numeric_columns(df), numeric_profile), "column", "left")
-        .join(part("text", text_columns(df), text_profile), "column", "left")
-        .join(part("datetime", datetime_columns(df), datetime_profile), "column", "left")
-        .withColumn("dataset", F.lit(name))
-        .select(
-            "dataset", "position", "column", "dtype", "count", "null_count", "null_percent",
-            *NUMERIC_STATS, *QUARTILES.values(),
-            "unique_count", "unique_percent", "top_values", "avg_length",
-            "min_date", "max_date", "date_range_days",
-        )
+    parts = []
+    if numeric_columns(df) and "numeric" in statistics:
+        parts.append(numeric_stats(df))
+    if numeric_columns(df) and "quartiles" in statistics:
+        parts.append(numeric_quartiles(df))
+    if text_columns(df) and "text" in statistics:
+        parts.append(text_profile(df, 5 if "top_values" in statistics else 0))
+    if datetime_columns(df) and "datetime" in statistics:
+        parts.append(datetime_profile(df))
+    columns = column_nulls(df)
+    for part in parts:
+        columns = columns.join(part, "column", "left")
+    absent = {c: F.lit(None).cast(t) for c, t in TYPED_STATISTICS.items() if c not in columns.columns}
+    return columns.withColumns(absent).select(
+        F.lit(name).alias("dataset"),
+        "position", "column", "dtype", "count", "null_count", "null_percent", *TYPED_STATISTICS,
     )
 
 
@@ -220,5 +233,5 @@ def table_profile(df: DataFrame, name: str = "dataset") -> DataFrame:
     )
 
 
-def profile(df: DataFrame, name: str = "dataset") -> TableSummary:
-    return TableSummary(table_profile(df, name), column_profile(df, name))
+def profile(df: DataFrame, name: str = "dataset", statistics: Sequence[str] = ALL_STATISTICS) -> TableSummary:
+    return TableSummary(table_profile(df, name), column_profile(df, name, statistics))

@@ -79,14 +79,18 @@ def baseline_and_current(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
         F.when(fraction("null") >= 0.12, F.col("user_id")).alias("user_id"),
         "event_type",
         value.alias("value"),
+        F.concat(F.lit("k"), (F.col("event_id") % 60).cast("string")).alias("props"),
         F.concat("event_type", F.lit("/"), (F.col("event_id") % 3).cast("string")).alias("channel"),
     )
-    return events.filter(~later), current
+    return events.filter(~later).withColumn("origin", F.col("event_type")), current
 
 
 def _compared(spark: SparkSession, sf: str) -> tuple[profile.TableSummary, profile.TableSummary]:
     baseline, current = baseline_and_current(spark, sf)
-    return profile.profile(current, "current"), profile.profile(baseline, "baseline")
+    return (
+        profile.profile(current, "current", profile.COMPARED_STATISTICS),
+        profile.profile(baseline, "baseline", profile.COMPARED_STATISTICS),
+    )
 
 
 CHANGE_OUT = ["type", "column", "baseline", "current", "change", "change_percent", "severity"]
@@ -373,7 +377,7 @@ def quality_issues(spark: SparkSession, sf: str) -> DataFrame:
         "orders": unassigned,
         "document_texts": read_table(spark, sf, "documents").drop("doc_id"),
     }
-    return _rounded(rules.quality_issues([profile.profile(df, n) for n, df in tables.items()]), "value", digits=4)
+    return _rounded(rules.quality_issues([profile.profile(df, n, profile.RULE_STATISTICS) for n, df in tables.items()]), "value", digits=4)
 
 
 def anomalies_by_type(spark: SparkSession, sf: str) -> DataFrame:

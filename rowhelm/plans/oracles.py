@@ -84,14 +84,15 @@ FAULTY = (
     f"(SELECT event_id, ts, {NULLED_USER} AS user_id, {SHIFTED_TYPE} AS event_type, {NEGATED_VALUE} AS value, props "
     f"FROM events WHERE {KEPT})"
 )
-BASELINE = f"(SELECT * FROM events WHERE ts::date < DATE '{DRIFT_DAY}')"
+BASELINE = f"(SELECT event_id, ts, user_id, event_type, value, props, event_type AS origin FROM events WHERE ts::date < DATE '{DRIFT_DAY}')"
 CURRENT = (
     f"(SELECT event_id, ts, CASE WHEN {fraction('null', 'event_id', seed=7)} >= 0.12::double THEN user_id END AS user_id, event_type, "
     f"CASE WHEN {fraction('negative', 'event_id', seed=7)} < 0.05::double THEN -value ELSE value * 1.6::double END AS value, "
-    "event_type || '/' || (event_id % 3)::varchar AS channel "
+    "'k' || (event_id % 60)::varchar AS props, event_type || '/' || (event_id % 3)::varchar AS channel "
     f"FROM events WHERE ts::date >= DATE '{DRIFT_DAY}' AND {fraction('keep', 'event_id', seed=7)} < 0.4::double)"
 )
-CURRENT_SCHEMA = {c: SCHEMAS["events"][c] for c in ("event_id", "ts", "user_id", "event_type", "value")} | {"channel": ("t", None)}
+BASELINE_SCHEMA = SCHEMAS["events"] | {"origin": ("t", None)}
+CURRENT_SCHEMA = SCHEMAS["events"] | {"channel": ("t", None)}
 
 
 def source(name: str) -> tuple[str, dict]:
@@ -113,7 +114,8 @@ def column_profiles(src: str, schema: dict) -> str:
         def when(flag: bool, expr: str, dtype: str) -> str:
             return expr if flag else f"NULL::{dtype}"
 
-        top = f"(SELECT {{}} FROM {src} q WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {KEY.format(c)} LIMIT 1)"
+        text = f"{c}::varchar"
+        top = f"(SELECT {{}} FROM {src} q WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {KEY.format(text)} LIMIT 1)"
         parts.append(
             f"""SELECT {position}::bigint AS position, '{c}' AS "column", count(*) AS "count",
             count(*) - count({c}) AS null_count,
@@ -194,7 +196,7 @@ def shares(src: str, date: str, columns: list[str]) -> str:
     parts = [
         f"""SELECT {date}::date AS day, '{c}' AS "column", {c} AS category, count(*) AS cnt,
         count(*) / sum(count(*)) OVER (PARTITION BY {date}::date) AS share
-        FROM {src} h WHERE {date} IS NOT NULL AND {c} IS NOT NULL GROUP BY ALL"""
+        FROM {src} h WHERE {date} IS NOT NULL AND {c} IS NOT NULL GROUP BY {date}::date, {c}"""
         for c in columns
     ]
     return union(parts)
@@ -273,7 +275,7 @@ def _change(kind: str, severity: str, where: str, base: str = "NULL::double", cu
             c.null_percent AS cn, b.null_percent AS bn, c.mean AS cm, b.mean AS bm, c.min_value AS cl, b.min_value AS bl,
             c.unique_count AS cu, b.unique_count AS bu
             FROM ({column_profiles(CURRENT, CURRENT_SCHEMA)}) c
-            FULL OUTER JOIN ({column_profiles(BASELINE, SCHEMAS['events'])}) b ON c."column" = b."column") j WHERE {where}"""
+            FULL OUTER JOIN ({column_profiles(BASELINE, BASELINE_SCHEMA)}) b ON c."column" = b."column") j WHERE {where}"""
 
 
 CHANGES = {

@@ -1,8 +1,8 @@
 """Find and convert date columns that arrive as text.
 
-A column is converted only if all its values are dates of one and the same format. The
-formats of all candidate columns are tested in a single aggregation, whose one result row
-is all that reaches the driver.
+A column is converted only if all its values are dates of one and the same format. All
+columns are tested in one aggregation, those that look like dates for the formats in
+another; the one result row of each is all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -31,25 +31,40 @@ DATE_FORMATS = {
 }
 
 
+# What all of them have in common; other columns are ruled out by this alone.
+DATE_LIKE = r"^\d{2,4}[-/]\d{2}[-/]\d{2,4}([ T][\d:.]{5,15})?$"
+
+
 def _parsed(column: Column, pattern: str) -> Column:
     """The moment, or NULL if the text is not of this format."""
     moment = F.try_to_timestamp(column, F.lit(DATE_FORMATS[pattern])).cast("timestamp_ntz")
     return F.when(column.rlike(pattern), moment)
 
 
+def _date_like(df: DataFrame, columns: list[str]) -> list[str]:
+    tests = []
+    for i, name in enumerate(columns):
+        column = F.col(quoted(name))
+        tests.append(F.count(column).alias(f"filled_{i}"))
+        tests.append(F.count(F.when(column.rlike(DATE_LIKE), True)).alias(f"like_{i}"))
+    row = df.agg(*tests).first()
+    return [name for i, name in enumerate(columns) if 0 < row[f"filled_{i}"] == row[f"like_{i}"]]
+
+
 def matching_formats(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     """The pattern that fits all non-null values of each column, if there is one."""
-    if not columns:
-        return {}
+    found: dict[str, str | None] = dict.fromkeys(columns)
+    candidates = _date_like(df, columns) if columns else []
+    if not candidates:
+        return found
     tests = []
-    for i, name in enumerate(columns):
+    for i, name in enumerate(candidates):
         column = F.col(quoted(name))
         tests.append(F.count(column).alias(f"filled_{i}"))
         tests += [F.count(_parsed(column, p)).alias(f"parsed_{i}_{j}") for j, p in enumerate(DATE_FORMATS)]
     row = df.agg(*tests).first()
-    found: dict[str, str | None] = {}
-    for i, name in enumerate(columns):
-        fits = [p for j, p in enumerate(DATE_FORMATS) if 0 < row[f"filled_{i}"] == row[f"parsed_{i}_{j}"]]
+    for i, name in enumerate(candidates):
+        fits = [p for j, p in enumerate(DATE_FORMATS) if row[f"filled_{i}"] == row[f"parsed_{i}_{j}"]]
         found[name] = fits[0] if fits else None
     return found
 
