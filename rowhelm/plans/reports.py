@@ -16,7 +16,7 @@ def profile_report(columns: DataFrame) -> DataFrame:
             F.col("mean").isNotNull(),
             F.concat(
                 F.format_string("mean %.2f", "mean"),
-                F.coalesce(F.format_string(", std %.2f", "std"), F.lit("")),
+                F.when(F.col("std").isNull(), "").otherwise(F.format_string(", std %.2f", "std")),
                 F.format_string(", %.2f to %.2f", "min_value", "max_value"),
             ),
         )
@@ -38,19 +38,18 @@ def profile_report(columns: DataFrame) -> DataFrame:
 def compare_report(changes: DataFrame) -> DataFrame:
     """One line per change, with ``-`` where a change has no such value."""
 
-    def shown(value: Column) -> Column:
-        return F.coalesce(F.format_string("%.4f", value), F.lit("-"))
+    def shown(value: Column, pattern: str = "%.4f") -> Column:
+        return F.when(value.isNull(), "-").otherwise(F.format_string(pattern, value))
 
-    percent = F.coalesce("change_percent", "change")
     return changes.select(
         "dataset",
         "position",
         "rule",
         "type",
         F.coalesce("column", F.lit("-")).alias("column"),
-        F.when(F.col("baseline").isNull(), "-").otherwise(shown(F.col("baseline"))).alias("baseline"),
-        F.when(F.col("current").isNull(), "-").otherwise(shown(F.col("current"))).alias("current"),
-        F.when(percent.isNull(), "-").otherwise(F.format_string("%.2f%%", percent)).alias("change"),
+        shown(F.col("baseline")).alias("baseline"),
+        shown(F.col("current")).alias("current"),
+        shown(F.coalesce("change_percent", "change"), "%.2f%%").alias("change"),
         F.upper(F.coalesce("severity", F.lit("low"))).alias("severity"),
     )
 
