@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +26,9 @@ BOOLEAN_TEXT = r"^([Tt]rue|[Ff]alse|TRUE|FALSE)$"
 def find_csv_datasets(spark: SparkSession, directory: str) -> dict[str, str]:
     """Name and path of each ``*.csv`` file, or directory of part files, by sorted name."""
     root = directory.rstrip("/")
-    listing = (
-        spark.read.format("binaryFile")
-        .load(f"{root}/*.csv")
-        .select(F.regexp_extract("path", r"/([^/]+)\.csv(/[^/]*)?$", 1).alias("name"))
-        .distinct()
-    )
-    # One row per dataset; the file contents are not read.
-    return {row["name"]: f"{root}/{row['name']}.csv" for row in listing.orderBy("name").collect()}
+    files = spark.read.format("binaryFile").load(f"{root}/*.csv").inputFiles()  # names only
+    names = {m.group(1) for f in files if (m := re.search(r"/([^/]+)\.csv(/[^/]*)?$", unquote(f)))}
+    return {name: f"{root}/{name}.csv" for name in sorted(names)}
 
 
 def _reader(spark: SparkSession, multi_line: bool):
@@ -96,6 +94,8 @@ def read_csv(
     if multi_line is None:
         multi_line = _has_quoted_newlines(spark, path)
     texts = _blank_missing(_reader(spark, multi_line).csv(path))
+    if not texts.columns:
+        raise ValueError(f"no columns in {path}")
     types = [f.dataType.simpleString() for f in schema] if schema else infer_types(texts)
     names = schema.names if schema else texts.columns
     return texts.select(
