@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowhelm.functions.scalars import (
+    INLINE_KEY_BYTES,
     as_number,
     as_text,
     clean,
     percent,
     row_digest,
+    value_key,
     whole_days_between,
 )
 from rowhelm.operators.frequency import distinct_stats, most_common, spelled_out, value_frequency
@@ -177,15 +179,29 @@ def column_profile(df: DataFrame, name: str = "dataset", statistics: Sequence[st
     )
 
 
+# Rows of up to this many fixed-width bytes are grouped by their values, wider ones by digest.
+ROW_KEY_BYTES = 160
+
+
+def _row_key(df: DataFrame) -> list[Column]:
+    """Columns of bounded width that are equal exactly when the rows are."""
+    fields = df.schema.fields
+    if sum(fixed_width(f.dataType) or INLINE_KEY_BYTES for f in fields) > ROW_KEY_BYTES:
+        return [row_digest(fields).alias("digest")]
+    return [
+        (clean(f) if fixed_width(f.dataType) else value_key(as_text(f))).alias(f"k{i}") for i, f in enumerate(fields)
+    ]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``(row_count, duplicate_rows)``: rows that repeat an earlier row.
 
-    Rows travel as 32-byte digests and are counted before the shuffle, so neither wide
-    rows nor one row repeated many times load a single task.
+    Narrow rows are grouped as they are, long texts and wide rows by SHA-256. Rows are
+    counted before the shuffle, so one row repeated many times does not load one task.
     """
+    rows = df.select(*_row_key(df))
     return (
-        df.select(row_digest(df.schema.fields).alias("digest"))
-        .groupBy("digest")
+        rows.groupBy(*rows.columns)
         .agg(F.count(F.lit(1)).alias("copies"))
         .agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
@@ -216,12 +232,13 @@ def table_profile(df: DataFrame, name: str = "dataset") -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("row_count"), _logical_bytes(df).alias("est_bytes"), *_filled_counts(df)
     ).select("row_count", "est_bytes", missing.cast("bigint").alias("total_null_cells"))
-    repeats = duplicate_rows(df).select(F.lit(name).alias("dataset"), "duplicate_rows")
+    repeats = duplicate_rows(df).select("duplicate_rows")
+    # Two frames of one row each, put side by side.
     return (
-        counts.select(F.lit(name).alias("dataset"), "*")
-        .join(repeats, "dataset")  # one row each
+        counts.unionByName(repeats, allowMissingColumns=True)
+        .agg(*[F.max(c).alias(c) for c in ("row_count", "est_bytes", "total_null_cells", "duplicate_rows")])
         .select(
-            "dataset",
+            F.lit(name).alias("dataset"),
             "row_count",
             F.lit(width).cast("bigint").alias("column_count"),
             "est_bytes",

@@ -1,9 +1,15 @@
 """Exact quantiles of many columns without sorting or collecting them.
 
-Every number is mapped to a 64-bit integer in the same order. Three passes count the values
-by the leading 20, 42 and 64 bits, each pass only inside the buckets that hold a wanted
-rank. A pass therefore shuffles at most 2^22 counters per wanted rank, however many rows
-there are and however they are spread, and the last pass leaves a single value.
+Three passes count values by ever finer buckets that keep the order of the values, each
+pass only inside the buckets that hold a wanted rank:
+
+1. by sign and logarithm, in steps of 1/128 octave: under 2^19 buckets per column;
+2. by the upper bits of the 64-bit sort key of a double: under 2^24 buckets per rank,
+   since such a step holds under 2^47 doubles;
+3. by the whole key: under 2^24 again, and each bucket is a single value.
+
+So a pass shuffles a bounded number of counters, however many rows there are and however
+they are spread, and rows outside the wanted buckets drop out inside the scan stage.
 """
 
 from __future__ import annotations
@@ -16,7 +22,9 @@ from pyspark.sql import functions as F
 from rowhelm.functions.scalars import as_number
 from rowhelm.operators.melt import column_name, melt
 
-PASS_SHIFTS = [44, 22, 0]
+STEPS_PER_OCTAVE = 128
+ABOVE_ALL_STEPS = 200_000
+KEY_SHIFT = 23
 
 # Fixed values of the double format.
 FRACTION_BITS = 52
@@ -24,6 +32,22 @@ EXPONENT_BIAS = 1023
 SMALLEST_NORMAL = 2.0**-1022
 
 
+def _sign() -> Column:
+    return F.when(F.col("value") < 0, F.lit(-1)).otherwise(F.lit(1))
+
+
+def _never_null(column: Column) -> Column:
+    """Tell the optimizer that there is no NULL, or it would filter on a second copy of
+    the whole expression."""
+    return F.coalesce(column, F.lit(0))
+
+
+def _logarithm_step() -> Column:
+    """Grows with the value; zero has no logarithm and is in the middle."""
+    step = F.floor(F.least(F.log2(F.abs("value")) * STEPS_PER_OCTAVE, F.lit(0.9 * ABOVE_ALL_STEPS)))
+    return F.when(F.col("value") == 0, F.lit(0)).otherwise(_never_null(_sign() * (step + ABOVE_ALL_STEPS)))
+
+
 def _add_sort_key(cells: DataFrame) -> DataFrame:
     """Add ``key``: a BIGINT ordered like the double ``value``, one per distinct value.
 
@@ -45,14 +69,7 @@ def _add_sort_key(cells: DataFrame) -> DataFrame:
         .when(size < SMALLEST_NORMAL, subnormal)
         .otherwise(normal)
     )
-    sign = F.when(F.col("value") < 0, F.lit(-1)).otherwise(F.lit(1))
-    return cells.select("col_no", "value", _never_null(magnitude * sign).alias("key"))
-
-
-def _never_null(column: Column) -> Column:
-    """Tell the optimizer that there is no NULL, or it would filter on a second copy of
-    the whole expression."""
-    return F.coalesce(column, F.lit(0))
+    return cells.withColumn("key", _never_null(magnitude * _sign())).drop("guess", "ratio")
 
 
 def _position(total: Column, probability: float) -> Column:
@@ -74,6 +91,10 @@ def _wanted(total: Column, probabilities: Sequence[float]) -> Column:
     return F.array(*targets)
 
 
+def _counters() -> list[Column]:
+    return [F.count(F.lit(1)).alias("cnt"), F.min("value").alias("low"), F.max("value").alias("high")]
+
+
 def _hit_buckets(histogram: DataFrame, within: Sequence[str]) -> DataFrame:
     """Buckets that hold a wanted rank, with the ranks counted from the bucket start."""
     running = Window.partitionBy("col_no", *within).orderBy("bucket")
@@ -90,7 +111,7 @@ def _hit_buckets(histogram: DataFrame, within: Sequence[str]) -> DataFrame:
             "targets",
             F.transform("targets", lambda t: t.withField("rank", t["rank"] - F.col("before"))),
         )
-        .drop("before", "cnt", *within)
+        .select("col_no", "low", "high", "total", "targets")
     )
 
 
@@ -98,31 +119,28 @@ def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.5, 0.75)
 ) -> DataFrame:
     """``(column, probability, value)`` by linear interpolation between neighbours."""
-    cells = _add_sort_key(melt(df, columns, as_number).filter(F.col("value").isNotNull()))
-    leading = F.shiftright("key", PASS_SHIFTS[0])
-    # At most 2^20 rows per column, a few hundred for values of like size.
-    histogram = cells.groupBy("col_no", leading.alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
+    cells = melt(df, columns, as_number).filter(F.col("value").isNotNull())
+    histogram = cells.groupBy("col_no", _logarithm_step().alias("bucket")).agg(*_counters())
     histogram = histogram.withColumn(
         "total", F.sum("cnt").over(Window.partitionBy("col_no"))
     ).withColumn("targets", _wanted(F.col("total"), probabilities))
     hits = _hit_buckets(histogram, [])
-    for outer_shift, shift in zip(PASS_SHIFTS, PASS_SHIFTS[1:]):
-        # Each wanted rank lies in one bucket: at most 2 * probabilities rows per column.
-        place = F.col("bucket") * len(columns) + F.col("col_no")
-        wanted = F.broadcast(hits.select(place.alias("place"), "total", "targets"))
-        place = F.shiftright("key", outer_shift) * len(columns) + F.col("col_no")
+    for shift in (KEY_SHIFT, 0):
+        # Each wanted rank lies in one bucket: at most 2 * probabilities rows per column,
+        # with value ranges that do not overlap.
+        wanted = F.broadcast(
+            hits.select("col_no", F.col("low").alias("from"), F.col("high").alias("to"), "total", "targets")
+        )
+        inside = cells.join(wanted, "col_no").filter(F.col("value").between(F.col("from"), F.col("to")))
         histogram = (
-            cells.withColumn("place", _never_null(place))
-            .join(wanted, "place")
-            .groupBy("col_no", "place", F.shiftright("key", shift).alias("bucket"), "total", "targets")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("value"))
+            _add_sort_key(inside).groupBy("col_no", "from", "total", "targets", F.shiftright("key", shift).alias("bucket")).agg(*_counters())
         )
-        hits = _hit_buckets(histogram, ["place"])
-    lower = F.max(F.when(~F.col("upper"), F.col("value")))
-    upper = F.max(F.when(F.col("upper"), F.col("value")))
+        hits = _hit_buckets(histogram, ["from"])
+    lower = F.max(F.when(~F.col("upper"), F.col("low")))
+    upper = F.max(F.when(F.col("upper"), F.col("low")))
     labels = F.array(*[F.lit(float(p)) for p in probabilities])
     return (
-        hits.select("col_no", "total", "value", F.inline("targets"))
+        hits.select("col_no", "total", "low", F.inline("targets"))
         .groupBy("col_no", "number")
         .agg(lower.alias("lower"), upper.alias("upper"), F.max("total").alias("total"))
         .withColumn("probability", F.element_at(labels, F.col("number") + 1))
