@@ -22,7 +22,7 @@ from rowhelm.functions.scalars import (
 from rowhelm.operators.frequency import distinct_stats, most_common, spelled_out, value_frequency
 from rowhelm.operators.melt import column_name, rows_from_structs
 from rowhelm.operators.quantiles import exact_quantiles
-from rowhelm.types import datetime_columns, fixed_width, numeric_columns, text_columns
+from rowhelm.types import fixed_width, is_datetime, is_numeric, numeric_columns, text_columns
 
 NUMERIC_STATS = ["mean", "std", "min_value", "max_value"]
 QUARTILES = {0.25: "percentile_25", 0.5: "percentile_50", 0.75: "percentile_75"}
@@ -45,45 +45,61 @@ def _filled_counts(df: DataFrame) -> list[Column]:
     return [F.count(clean(f)).alias(f"filled_{i}") for i, f in enumerate(df.schema)]
 
 
-def column_nulls(df: DataFrame) -> DataFrame:
-    """``(position, column, dtype, count, null_count, null_percent)``, one scan in all."""
-    counts = df.agg(F.count(F.lit(1)).alias("count"), *_filled_counts(df))
+NULL_COUNTS = ["position", "dtype", "count", "null_count", "null_percent"]
+DATE_STATS = ["min_date", "max_date", "date_range_days"]
+
+
+def column_basics(df: DataFrame, nulls: bool = True, numeric: bool = True, datetime: bool = True) -> DataFrame:
+    """All statistics that need no distinct values or ranks, from one scan of the table.
+
+    One row per column: null counts, ``NUMERIC_STATS`` and ``DATE_STATS``, as asked for;
+    what does not apply to the type of a column is NULL.
+    """
+    wanted = {
+        f.name: (numeric and is_numeric(f.dataType), datetime and is_datetime(f.dataType)) for f in df.schema
+    }
+    aggregates = [F.count(F.lit(1)).alias("count")]
     structs = []
     for i, field in enumerate(df.schema):
-        missing = F.col("count") - F.col(f"filled_{i}")
-        structs.append(
-            F.struct(
-                F.lit(i).cast("bigint").alias("position"),
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("dtype"),
-                missing.alias("null_count"),
-                F.round(percent(missing, F.col("count")), 2).alias("null_percent"),
-            )
-        )
-    return rows_from_structs(counts, ["count"], structs).select(
-        "position", "column", "dtype", "count", "null_count", "null_percent"
-    )
+        has_numbers, has_dates = wanted[field.name]
+        parts = {"column": F.lit(field.name)}
+        if nulls:
+            aggregates.append(F.count(clean(field)).alias(f"filled_{i}"))
+            missing = F.col("count") - F.col(f"filled_{i}")
+            parts |= {
+                "position": F.lit(i).cast("bigint"),
+                "dtype": F.lit(field.dataType.simpleString()),
+                "null_count": missing,
+                "null_percent": F.round(percent(missing, F.col("count")), 2),
+            }
+        if has_numbers:
+            value = as_number(field)
+            functions = dict(zip(NUMERIC_STATS, (F.avg, F.stddev_samp, F.min, F.max)))
+            aggregates += [function(value).alias(f"{stat}_{i}") for stat, function in functions.items()]
+        if has_dates:
+            moment = clean(field).cast("timestamp_ntz")
+            aggregates += [F.min(moment).alias(f"first_{i}"), F.max(moment).alias(f"last_{i}")]
+        if numeric:
+            for stat in NUMERIC_STATS:
+                number = F.round(F.col(f"{stat}_{i}"), 4) if has_numbers else F.lit(None)
+                parts[stat] = number.cast("double")
+        if datetime:
+            first, last = (F.col(f"{edge}_{i}") if has_dates else F.lit(None) for edge in ("first", "last"))
+            parts["min_date"], parts["max_date"] = first.cast("string"), last.cast("string")
+            parts["date_range_days"] = whole_days_between(first, last) if has_dates else F.lit(None).cast("bigint")
+        structs.append(F.struct(*[value.alias(name) for name, value in parts.items()]))
+    return rows_from_structs(df.agg(*aggregates), ["count"], structs)
+
+
+def column_nulls(df: DataFrame) -> DataFrame:
+    """``(column, position, dtype, count, null_count, null_percent)``."""
+    return column_basics(df, numeric=False, datetime=False).select("column", *NULL_COUNTS)
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
     """``(column, mean, std, min_value, max_value)``; no row for all-null columns."""
-    names = numeric_columns(df)
-    aggregates, structs = [], []
-    for i, name in enumerate(names):
-        value = as_number(df.schema[name])
-        aggregates += [
-            F.avg(value).alias(f"mean_{i}"),
-            F.stddev_samp(value).alias(f"std_{i}"),
-            F.min(value).alias(f"min_value_{i}"),
-            F.max(value).alias(f"max_value_{i}"),
-        ]
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                *[F.round(F.col(f"{stat}_{i}"), 4).alias(stat) for stat in NUMERIC_STATS],
-            )
-        )
-    return rows_from_structs(df.agg(*aggregates), [], structs).filter(F.col("mean").isNotNull())
+    basics = column_basics(df, nulls=False, datetime=False)
+    return basics.select("column", *NUMERIC_STATS).filter(F.col("mean").isNotNull())
 
 
 def numeric_quartiles(df: DataFrame) -> DataFrame:
@@ -125,21 +141,8 @@ def text_profile(df: DataFrame, k: int = 5) -> DataFrame:
 
 def datetime_profile(df: DataFrame) -> DataFrame:
     """``(column, min_date, max_date, date_range_days)``; no row for all-null columns."""
-    names = datetime_columns(df)
-    aggregates, structs = [], []
-    for i, name in enumerate(names):
-        moment = clean(df.schema[name]).cast("timestamp_ntz")
-        aggregates += [F.min(moment).alias(f"min_{i}"), F.max(moment).alias(f"max_{i}")]
-        first, last = F.col(f"min_{i}"), F.col(f"max_{i}")
-        structs.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                first.cast("string").alias("min_date"),
-                last.cast("string").alias("max_date"),
-                whole_days_between(first, last).alias("date_range_days"),
-            )
-        )
-    return rows_from_structs(df.agg(*aggregates), [], structs).filter(F.col("min_date").isNotNull())
+    basics = column_basics(df, nulls=False, numeric=False)
+    return basics.select("column", *DATE_STATS).filter(F.col("min_date").isNotNull())
 
 
 # The statistics of a column profile that depend on its type.
@@ -161,15 +164,11 @@ def column_profile(df: DataFrame, name: str = "dataset", statistics: Sequence[st
     The joined frames have one row per column of the table.
     """
     parts = []
-    if numeric_columns(df) and "numeric" in statistics:
-        parts.append(numeric_stats(df))
     if numeric_columns(df) and "quartiles" in statistics:
         parts.append(numeric_quartiles(df))
     if text_columns(df) and "text" in statistics:
         parts.append(text_profile(df, 5 if "top_values" in statistics else 0))
-    if datetime_columns(df) and "datetime" in statistics:
-        parts.append(datetime_profile(df))
-    columns = column_nulls(df)
+    columns = column_basics(df, numeric="numeric" in statistics, datetime="datetime" in statistics)
     for part in parts:
         columns = columns.join(part, "column", "left")
     absent = {c: F.lit(None).cast(t) for c, t in TYPED_STATISTICS.items() if c not in columns.columns}
@@ -180,7 +179,7 @@ def column_profile(df: DataFrame, name: str = "dataset", statistics: Sequence[st
 
 
 # Rows of up to this many fixed-width bytes are grouped by their values, wider ones by digest.
-ROW_KEY_BYTES = 160
+ROW_KEY_BYTES = 512
 
 
 def _row_key(df: DataFrame) -> list[Column]:
