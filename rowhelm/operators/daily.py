@@ -168,7 +168,11 @@ def daily_profile(
 
 
 def day_records(daily: DailyProfile) -> DataFrame:
-    """Nested view, one record per day: the row count and six maps keyed by column."""
+    """Nested view, one record per day: the row count and six maps keyed by column.
+
+    A map has at most one entry per column. Shares stay in their own table, since a day
+    can have as many categories as rows.
+    """
 
     def as_map(value: str) -> Column:
         entries = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("column", value)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowhelm.functions.scalars import DIGEST_PREFIX, as_text, value_key
+from rowhelm.functions.scalars import DIGEST_PREFIX, INLINE_KEY_BYTES, as_text, value_key
 from rowhelm.operators.melt import column_name, melt
 
 
@@ -39,9 +39,8 @@ def spelled_out(df: DataFrame, columns: Sequence[str], keyed: DataFrame) -> Data
     )
     texts = (
         melt(df, columns, as_text)
-        .filter(F.octet_length("value") + 0 > 0)
+        .filter(F.octet_length("value") > INLINE_KEY_BYTES)
         .withColumn("key", value_key(F.col("value")))
-        .filter(F.col("key").startswith(DIGEST_PREFIX))
         .join(digests, ["col_no", "key"], "left_semi")
         .select("col_no", "key", F.col("value").alias("long_value"))
         .distinct()

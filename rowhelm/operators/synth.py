@@ -77,6 +77,7 @@ def synth_orders(volume: DataFrame, seed: int = 42) -> DataFrame:
     A day is cut into blocks that are spread over the cluster before they are filled, so
     that a single busy day is not written by one task.
     """
+    # One row per day, so a single window is small.
     earlier = Window.partitionBy(F.lit(1)).orderBy("day_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = F.floor((F.col("order_count") - 1) / ORDER_BLOCK)
     blocks = (
