@@ -65,7 +65,11 @@ def faulty_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def baseline_and_current(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """First and second half of the month; the second one with drifted columns."""
+    """First and second half of the month, the second one drifted.
+
+    The baseline is its whole half. The current half has planted drift: lost rows, missing
+    users, higher and partly negative values, fewer distinct props, other columns.
+    """
     events = read_table(spark, sf, "events")
     later = F.to_date("ts") >= F.lit(DRIFT_DAY)
 
