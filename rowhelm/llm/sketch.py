@@ -5,6 +5,10 @@ Two rows of counters that stop at 3, four to a byte. Each task sends its non-zer
 merging task holds its shards only. The merged counters (at most ``max_bytes``) go to every task as a
 broadcast. An estimate is never below the true count (up to 3). When the items outgrow the bound the
 estimates only get coarser: callers pass more items on to their exact step, and lose none.
+
+Beside it come the heavy items: those that make up at least ``1 / HEAVY`` of all, found among the
+items with that share of some task's part, so at most ``HEAVY`` of them. They serve to split or
+postpone hot keys; results don't depend on which items are in the list.
 """
 
 from __future__ import annotations
@@ -15,7 +19,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rowhelm.llm.storage import stored
 
+HEAVY = 1 << 14
 SHARDS = 128
 TOP = 3
 MAX_BYTES = 1 << 26
@@ -64,27 +72,35 @@ def _add(into: np.ndarray, blob: bytes) -> None:
 
 def build(
     df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int
-) -> np.ndarray:
-    """The merged counters of all hashes that ``hashes_of`` gives for the batches of ``df``."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(merged counters, heavy hashes in order, their counts) of what ``hashes_of`` gives for ``df``."""
 
     def partial(batches):
         held, n = [], 0
 
         def flush():
-            rows = list(_pack(np.concatenate(held), cells))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "part"]
+            hashes = np.concatenate(held)
+            rows = list(_pack(hashes, cells))
+            hashes.sort()
+            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            counts = np.diff(np.append(first, len(hashes)))
+            most = np.flatnonzero(counts >= max(8, len(hashes) // HEAVY))
+            none = [None] * len(most)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows] + none, pa.int32()), pa.array([r[1] for r in rows] + none, pa.binary()), pa.array([None] * len(rows) + hashes[first[most]].view(np.int64).tolist(), pa.int64()), pa.array([len(hashes)] + [0] * (len(rows) - 1) + counts[most].tolist(), pa.int64())],
+                ["shard", "part", "item", "n"],
             )
 
         for batch in batches:
             for hashes in hashes_of(batch):
-                held.append(hashes)
-                n += len(hashes)
+                if len(hashes):
+                    held.append(hashes)
+                    n += len(hashes)
                 if n >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     held, n = [], 0
         if n:
-            yield flush()
+            yield from flush()
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
@@ -98,13 +114,26 @@ def build(
             packed = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed.tobytes()], pa.binary())], ["shard", "part"])
 
-    kind = "shard int, part binary"
-    merged = df.mapInArrow(partial, kind).repartition("shard").mapInArrow(merge, kind)
+    parts = stored(df.mapInArrow(partial, "shard int, part binary, item long, n long"), "sketch")
     counters = np.zeros(cells // 4, np.uint8)
     size = cells // 4 // SHARDS
-    for row in merged.collect():  # SHARDS rows, at most max_bytes in all
+    sketches = parts.filter("shard is not null").select("shard", "part")
+    for row in sketches.repartition("shard").mapInArrow(merge, "shard int, part binary").collect():  # max_bytes in all
         counters[row.shard * size : (row.shard + 1) * size] = np.frombuffer(row.part, np.uint8)
-    return counters
+    total = parts.filter("shard is not null").agg(F.sum("n")).first()[0] or 0
+    heavy = parts.filter("item is not null").groupBy("item").agg(F.sum("n").alias("n"))
+    rows = heavy.filter(F.col("n") >= max(8, total // HEAVY)).collect()  # HEAVY rows at most, 8 bytes each
+    items = np.array([r.item for r in rows], np.int64).view(np.uint64)
+    by = np.argsort(items)
+    return counters, items[by], np.array([r.n for r in rows], np.int64)[by]
+
+
+def among(heavy: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Position of each hash in the ordered ``heavy``, or -1."""
+    if not len(heavy):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
+    return np.where(heavy[at] == hashes, at, -1)
 
 
 def estimate(counters: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ same document. All windows are judged on the input.
 2. A second pass keeps the windows whose anchor is estimated to occur twice; no repeated window is
    lost, since estimates are never too low. Windows met again within a task are settled there, so a
    passage that is everywhere costs one row a task. The rest is grouped exactly, by the anchor's
-   64-bit and the window's own 64-bit hash (two independent ones), over whole groups.
+   64-bit and the window's own 64-bit hash (two independent ones), over whole groups. Windows that
+   share a very common anchor but little else are dealt out by their own hash instead.
 3. What goes is joined to the documents by id and text hash.
 
 Nulls and empties: a null or empty text has no words (sha256 of nothing). A null id sorts before all
@@ -64,21 +65,24 @@ def _changes(anchor: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
 
 
-def _repeated(keys: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
-    """True for each item whose key stands earlier in ``order``; equal places count as one."""
-    by = np.lexsort([*order[::-1], keys])
-    k = keys[by]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
+def _repeated(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
+    """True for each item whose keys stand earlier in ``order``; equal places count as one."""
+    by = np.lexsort([*order[::-1], *keys])
+    new = np.zeros(len(by), bool)
+    new[:1] = True
+    for key in keys:
+        k = key[by]
+        new[1:] |= k[1:] != k[:-1]
     lead = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = np.zeros(len(keys), bool)
+    later = np.zeros(len(by), bool)
     for column in order:
         later |= column[by] != column[lead]
-    out = np.empty(len(keys), bool)
+    out = np.empty(len(by), bool)
     out[by] = later
     return out
 
 
-def _candidates(size: int, counters) -> callable:
+def _candidates(size: int, counters, heavy) -> callable:
     names = ["anchor", "doc_id", "text_key", "start", "todo", "done", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +90,10 @@ def _candidates(size: int, counters) -> callable:
         n = 0
 
         def flush():
-            doc, key, start, anchor, own, place = (np.concatenate([h[i] for h in held]) for i in range(6))
-            settled = _repeated(own ^ (anchor * np.uint64(3)), [doc, key, start])
+            doc, key, start, anchor, own, place, hot = (np.concatenate([h[i] for h in held]) for i in range(7))
+            settled = _repeated([own, anchor], [doc, key, start])
             # one row for each anchor's place: its windows start at `first` and follow each other
-            new = np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+            new = np.concatenate([[True], hot[1:] | (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
             head = np.flatnonzero(new)
             bit = np.left_shift(1, start - start[head][np.cumsum(new) - 1])
             done = np.add.reduceat(np.where(settled, bit, 0), head)
@@ -120,7 +124,11 @@ def _candidates(size: int, counters) -> callable:
                     continue
                 row = np.searchsorted(part.bounds, starts, side="right") - 1
                 own = window_hashes(words, size, 1)[starts]
-                held.append((ids[part.first + row], keys[part.first + row], starts - part.bounds[row], grams[anchor], own, anchor))
+                lead = grams[anchor]
+                hot = sketch.among(heavy.value, lead) >= 0
+                if hot.any():
+                    lead, own = np.where(hot, own, lead), np.where(hot, window_hashes(words, size)[starts], own)
+                held.append((ids[part.first + row], keys[part.first + row], starts - part.bounds[row], lead, own, anchor, hot))
                 n += len(starts)
                 if n >= CHUNK:
                     yield from flush()
@@ -145,7 +153,7 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = (todo[:, None] >> np.arange(31)) & 1
         offset = np.nonzero(bits)[1]
         if len(own):
-            again = _repeated(own ^ (anchor[row].view(np.uint64) * np.uint64(3)), [doc[row], key[row], start[row] + offset])
+            again = _repeated([own, anchor[row]], [doc[row], key[row], start[row] + offset])
             done = done + np.bincount(row, np.where(again, 1 << offset, 0), len(done)).astype(np.int32)
         keep = np.flatnonzero(done)
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, key, start.astype(np.int32), done.astype(np.int32))], ["doc_id", "text_key", "start", "gone"])
@@ -214,9 +222,11 @@ def removed_windows(docs: DataFrame, size: int = SIZE, max_sketch_bytes: int = s
                 yield grams[anchor[_changes(anchor)]]
 
     cells = sketch.cells_for(total // BYTES_PER_WORD // max(1, size // 4), 8, max_sketch_bytes)
-    counters = docs.sparkSession.sparkContext.broadcast(sketch.build(texts.select("text"), anchors_of, cells))
+    counters, items, _ = sketch.build(texts.select("text"), anchors_of, cells)
+    context = docs.sparkSession.sparkContext
+    counters, heavy = context.broadcast(counters), context.broadcast(items)
     rows = texts.mapInArrow(
-        _candidates(size, counters), "anchor long, doc_id long, text_key long, start int, todo int, done int, hashes binary"
+        _candidates(size, counters, heavy), "anchor long, doc_id long, text_key long, start int, todo int, done int, hashes binary"
     )
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         _first_seen, "doc_id long, text_key long, start int, gone int"
