@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowhelm.llm import substring
+from rowhelm.llm import jaccard, substring
 from rowhelm.sources.tables import read_table
 
 
@@ -14,8 +14,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
