@@ -44,7 +44,9 @@ from rowhelm.llm.words import Slice, mix, slices, span_sums
 SHINGLE = 5
 PERCENT = 80
 CHUNK = 1 << 18
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Shingles with at least this share of all come last in the common order.
+HEAVY = 1 << 17
 BYTES_PER_WORD = 6
 #: Shingles whose hash is below this are counted: half of them.
 COUNTED = np.uint64(1) << np.uint64(63)
@@ -320,10 +322,12 @@ def jaccard_components(
 
     context = docs.sparkSession.sparkContext
     cells = sketch.cells_for(total // BYTES_PER_WORD // 2, 4, max_sketch_bytes)
-    shared = [context.broadcast(x) for x in sketch.build(texts.select("text"), counted, cells)]
+    shared = [context.broadcast(x) for x in sketch.build(texts.select("text"), counted, cells, HEAVY)]
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = texts.mapInArrow(_sets(size, percent, *shared), f"doc_id {kind}, n long, class binary, first array<long>, set binary")
     sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    for one in shared:
+        one.destroy()
     roots = link_classes(sets, percent, chunk)
     # classes, then the components' smallest ids
     classes = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("first").isNotNull(), F.col("row"))).alias("node"))

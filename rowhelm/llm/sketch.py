@@ -6,8 +6,8 @@ merging task holds its shards only. The merged counters (at most ``max_bytes``)
 broadcast. An estimate is never below the true count (up to 3). When the items outgrow the bound the
 estimates only get coarser: callers pass more items on to their exact step, and lose none.
 
-Beside it come the heavy items: those that make up at least ``1 / HEAVY`` of all, found among the
-items with that share of some task's part, so at most ``HEAVY`` of them. They serve to split or
+Beside it come the heavy items: those that make up at least ``1 / share`` of all, found among the
+items with that share of some task's part, so at most ``share`` of them. They serve to split or
 postpone hot keys; results don't depend on which items are in the list.
 """
 
@@ -25,6 +25,7 @@ from rowhelm.llm.storage import stored
 
 HEAVY = 1 << 14
 SHARDS = 128
+PIECES = 8
 TOP = 3
 MAX_BYTES = 1 << 26
 FLUSH = 1 << 22
@@ -71,7 +72,7 @@ def _add(into: np.ndarray, blob: bytes) -> None:
 
 
 def build(
-    df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int
+    df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int, share: int = HEAVY
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(merged counters, heavy hashes in order, their counts) of what ``hashes_of`` gives for ``df``."""
 
@@ -84,7 +85,7 @@ def build(
             hashes.sort()
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             counts = np.diff(np.append(first, len(hashes)))
-            most = np.flatnonzero(counts >= max(8, len(hashes) // HEAVY))
+            most = np.flatnonzero(counts >= max(8, len(hashes) // share))
             none = [None] * len(most)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows] + none, pa.int32()), pa.array([r[1] for r in rows] + none, pa.binary()), pa.array([None] * len(rows) + hashes[first[most]].view(np.int64).tolist(), pa.int64()), pa.array([len(hashes)] + [0] * (len(rows) - 1) + counts[most].tolist(), pa.int64())],
@@ -118,11 +119,13 @@ def build(
     counters = np.zeros(cells // 4, np.uint8)
     size = cells // 4 // SHARDS
     sketches = parts.filter("shard is not null").select("shard", "part")
-    for row in sketches.repartition("shard").mapInArrow(merge, "shard int, part binary").collect():  # max_bytes in all
-        counters[row.shard * size : (row.shard + 1) * size] = np.frombuffer(row.part, np.uint8)
+    merged = stored(sketches.repartition("shard").mapInArrow(merge, "shard int, part binary"), "merged")
+    for piece in range(PIECES):  # at most max_bytes in all
+        for row in merged.filter(F.col("shard") % PIECES == piece).collect():
+            counters[row.shard * size : (row.shard + 1) * size] = np.frombuffer(row.part, np.uint8)
     total = parts.filter("shard is not null").agg(F.sum("n")).first()[0] or 0
     heavy = parts.filter("item is not null").groupBy("item").agg(F.sum("n").alias("n"))
-    rows = heavy.filter(F.col("n") >= max(8, total // HEAVY)).collect()  # HEAVY rows at most, 8 bytes each
+    rows = heavy.filter(F.col("n") >= max(8, total // share)).collect()  # at most `share` rows of two longs
     items = np.array([r.item for r in rows], np.int64).view(np.uint64)
     by = np.argsort(items)
     return counters, items[by], np.array([r.n for r in rows], np.int64)[by]
