@@ -220,8 +220,8 @@ def _sets(size: int, percent: int, counters, heavy, heavy_n) -> callable:
                         firsts.append(own[by].view(np.int64))
                         sets.append(data)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["doc_id", "n", "class", "first", "set"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                ["doc_id", "text_key", "n", "class", "first", "set"],
             )
 
     return run
@@ -308,11 +308,14 @@ def link_classes(sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) ->
     return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def jaccard_components(
+def components(
     docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max_sketch_bytes: int = sketch.MAX_BYTES, chunk: int = CHUNK
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row. Runs its jobs when called."""
-    texts = docs.select(F.col("doc_id"), "text")
+    """doc_id, text_key (xxhash64 of the text), n_shingles, component (a name) and component_id of every row.
+
+    Runs its jobs when called.
+    """
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def counted(batch):
@@ -324,16 +327,45 @@ def jaccard_components(
     cells = sketch.cells_for(total // BYTES_PER_WORD // 2, 4, max_sketch_bytes)
     shared = [context.broadcast(x) for x in sketch.build(texts.select("text"), counted, cells, HEAVY)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = texts.mapInArrow(_sets(size, percent, *shared), f"doc_id {kind}, n long, class binary, first array<long>, set binary")
+    sets = texts.mapInArrow(_sets(size, percent, *shared), f"doc_id {kind}, text_key long, n long, class binary, first array<long>, set binary")
     sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     for one in shared:
         one.destroy()
     roots = link_classes(sets, percent, chunk)
     # classes, then the components' smallest ids
-    classes = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("first").isNotNull(), F.col("row"))).alias("node"))
+    node = F.min(F.when(F.col("first").isNotNull(), F.col("row")))
+    classes = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), node.alias("node"))
     classes = stored(classes.join(roots, "node", "left").select("class", "least", "root"), "classes")
     joined = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-    named = classes.join(joined, "root", "left").select("class", F.coalesce("smallest", "least").alias("component_id"))
-    return sets.select("doc_id", "n", "class").join(named, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    name = F.coalesce(F.col("root").cast("string"), F.hex("class"))
+    named = classes.join(joined, "root", "left").select("class", name.alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
+    filled = F.col("n") > 0
+    return sets.select("doc_id", "text_key", "n", "class", "row").join(named, "class", "left").select(
+        "doc_id",
+        "text_key",
+        F.col("n").alias("n_shingles"),
+        F.when(filled, F.col("component")).otherwise(F.concat(F.lit("empty "), F.col("row"))).alias("component"),
+        F.when(filled, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return components(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with their columns, less all but the one with the smallest id of each component.
+
+    Ids that are null come last; of rows that repeat id and text one stays; documents without words stay.
+    """
+    found = stored(components(docs, **options), "components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    chosen = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    chosen = stored(chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), "n").distinct(), "chosen")
+    repeated = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(chosen.withColumnRenamed("_key", "_chosen"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_chosen")), "left_semi")
+    if repeated:
+        kept = kept.filter("length(trim(coalesce(text, ''))) > 0").dropDuplicates(["doc_id", "_key"]).union(kept.filter("length(trim(coalesce(text, ''))) = 0"))
+    return kept.drop("_key")

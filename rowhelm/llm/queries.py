@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowhelm.llm import jaccard, language_id, quality_knn, quality_rules, substring
+from rowhelm.llm import html_text, jaccard, language_id, mixing, packing, quality_knn, quality_rules, substring, tool_calls, topk
 from rowhelm.sources.tables import read_table
 
 
+#: Target weights of the mixture by language.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+#: The mixture's size, in times the words of the documents.
+MIXTURE = 1.25
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and domain, the language, of the labelled documents."""
+    known = labels.select("doc_id").dropna().distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).dropna().join(known, "doc_id", "left_semi")
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labelled = labelled_domains(docs, read_table(spark, sf_dir, "labels"))
+    return mixing.rates(docs.select("doc_id", "text"), labelled, TARGETS, MIXTURE)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -32,6 +50,48 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_texts(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The tools of ``chat_calls``.
+CHAT_TOOLS = [
+    ("reply", "prompt", "string", True),
+    ("reply", "turn", "integer", True),
+    ("reply", "language", "string", False),
+]
+
+
+def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of the conversations: each user turn calls for a reply, which needs the call two turns before; the assistant's next turn is its result."""
+    call_id = lambda shift: F.concat_ws(":", "conv_id", F.col("turn") - shift)
+    users = conversations.filter("role = 'user'")
+    calls = users.select(
+        call_id(0).alias("call_id"),
+        F.lit("reply").alias("name"),
+        F.create_map(F.lit("prompt"), F.col("text"), F.lit("turn"), F.col("turn").cast("string")).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(call_id(2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+    results = conversations.filter("role = 'assistant'").select(call_id(1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_calls(read_table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(CHAT_TOOLS, "name string, argument string, type string, required boolean")
+    return tool_calls.link_calls(calls, results, schemas)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs, fold(4) != 2)
@@ -45,11 +105,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_ngram_jaccard": op3_ngram_jaccard,
-    "op5_quality_classifier": op5_quality_classifier,
-    "op9_language_id": op9_language_id,
-    "op10_quality_rules": op10_quality_rules,
-}
-
-ORACLES: dict[str, str] = {}
+    query.__name__: query
+    for query in (
+        op1_source_mixing, op2_substring_dedup, op3_ngram_jaccard, op4_topk_search, op5_quality_classifier,
+        op6_best_fit_packing, op7_html_extraction, op8_chat_formatting, op9_language_id, op10_quality_rules,
+    )
+}
+
+_ORDERED_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+_CHAT = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id || ':' || turn AS call_id, turn, text, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS needs
+  FROM conversations WHERE role = 'user'
+), results AS (
+  SELECT conv_id || ':' || (turn - 1) AS call_id, min(text) AS result, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1
+), levels AS (
+  SELECT call_id, 0 AS level FROM calls WHERE needs IS NULL OR needs NOT IN (SELECT call_id FROM calls)
+  UNION ALL
+  SELECT c.call_id, l.level + 1 FROM calls c JOIN levels l ON c.needs = l.call_id
+)
+SELECT c.call_id, l.level, coalesce(r.n, 0) AS n_results, NOT e.lost AS valid,
+       CASE WHEN e.lost THEN 'dependency:' || c.needs ELSE '' END AS errors,
+       CAST(json_object('arguments', json_object('prompt', c.text, 'turn', CAST(c.turn AS VARCHAR)), 'id', c.call_id, 'name', 'reply', 'result', r.result) AS VARCHAR) AS json
+FROM calls c JOIN levels l USING (call_id) LEFT JOIN results r USING (call_id)
+JOIN (SELECT call_id, needs IS NOT NULL AND needs NOT IN (SELECT call_id FROM calls) AS lost FROM calls) e USING (call_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_topk_search": _ORDERED_TOP_K, "op8_chat_formatting": _CHAT}

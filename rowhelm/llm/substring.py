@@ -174,7 +174,7 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(pa.Table.from_batches(held))
 
 
-def _cut(size: int) -> callable:
+def _cut(size: int, untouched: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_gone, kept_words = [], [], []
@@ -193,7 +193,8 @@ def _cut(size: int) -> callable:
                     words = [words[i] for i in np.flatnonzero(keep[:total])]
                 n_words.append(total)
                 n_gone.append(total - len(words))
-                kept_words.append(b" ".join(words).decode())
+                same = untouched and total == len(words) and text.is_valid
+                kept_words.append(text.as_py() if same else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept_words, pa.string()), *batch.columns[3:]],
                 ["doc_id", "n_words", "n_removed", "kept_text", *batch.schema.names[3:]],
@@ -233,10 +234,11 @@ def removed_windows(docs: DataFrame, size: int = SIZE, max_sketch_bytes: int = s
     )
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, max_sketch_bytes: int = sketch.MAX_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, max_sketch_bytes: int = sketch.MAX_BYTES, untouched: bool = False) -> DataFrame:
     """The documents (other columns kept) with ``n_words``, ``n_removed`` and ``kept_text``.
 
-    ``kept_text`` is the remaining words joined by one space. Columns of those names, if the input
+    ``kept_text`` is the remaining words joined by one space; with ``untouched``, texts that lose
+    nothing keep their white space. Columns of those names, if the input
     has them, are replaced.
     """
     gone = (
@@ -253,7 +255,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, max_sketch_bytes: int = sk
     joined = base.join(gone, ["_id", "_key"], "left").select("doc_id", "text", "_gone", *rest)
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept_text string" + "".join(f", `{c}` {kinds[c]}" for c in rest)
-    return joined.mapInArrow(_cut(size), schema)
+    return joined.mapInArrow(_cut(size, untouched), schema)
 
 
 def digest(df: DataFrame) -> DataFrame:
