@@ -15,8 +15,8 @@ link when 100 * intersection >= 80 * union. Equal sets are one class.
    skips documents with too few occurrences, the longest are probed by binary search for those that
    are left, and a document that reaches the required overlap is linked. Documents that are in one
    component already need not be compared with each other, so a group of copies costs one search. Small
-   blocks share a task; a large block is cut into chunks of bounded size, and its queries (a hub a round,
-   then all documents outside its largest component) are searched in each.
+   blocks share a task; a large block is cut into chunks of bounded size, and its queries (some hubs, taken
+   by hash, then all documents outside its largest component) are searched in each.
 
 Nulls and empties: null text is empty. A row with a null id is a document with no id; it can link
 others. Rows that share an id but not their text are separate documents. Repeated rows are one
@@ -44,6 +44,10 @@ from rowhelm.llm.words import Slice, mix, slices, span_sums
 SHINGLE = 5
 PERCENT = 80
 CHUNK = 1 << 18
+#: Weight of the list length in the choice of how many lists are long.
+MU = 0.01
+#: Hubs that are searched in a large block in each round, and rounds.
+HUBS = 8
 HUB_ROUNDS = 2
 #: Shingles with at least this share of all come last in the common order.
 HEAVY = 1 << 17
@@ -105,7 +109,7 @@ class Index:
             return []
         by = np.argsort(length, kind="stable")
         at, length = at[by], length[by]
-        longs = min(least - 1, int(least / (0.1 * np.log2(length[-1] + 1) + 1)))
+        longs = min(least - 1, int(least / (MU * np.log2(length[-1] + 1) + 1)))
         cut = len(at) - longs
         low, high = self.cuts[at].tolist(), self.cuts[at + 1].tolist()
         found, docs = [], self.docs
@@ -114,7 +118,7 @@ class Index:
             if doc == but or self.percent * max(n, m) > 100 * min(n, m):
                 continue
             need, left = required(n, m, self.percent), longs
-            for k in range(len(at) - 1, cut - 1, -1):
+            for k in range(cut, len(at)):  # the shortest first: they rule out most
                 if seen >= need or seen + left < need:
                     break
                 place = bisect_left(docs, doc, low[k], high[k])
@@ -293,9 +297,10 @@ def link_classes(sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) ->
     if large:
         chunks = stored(full.filter("parts > 1").withColumn("chunk", F.expr("pmod(xxhash64(node, 3), parts)").cast("int")), "chunks")
         links = stored(chunks.select(F.col("node").alias("a"), F.col("node").alias("b")), "self")
-        for _ in range(HUB_ROUNDS):
+        for turn in range(HUB_ROUNDS):
             met = links.filter("a != b").select("a").union(links.filter("a != b").select("b")).distinct()
-            free = chunks.join(met, chunks.node == met.a, "left_anti").groupBy("block").agg(F.min("node").alias("node"))
+            free = chunks.join(met, chunks.node == met.a, "left_anti").select("block", "node", F.xxhash64("node", F.lit(turn)).alias("h"))
+            free = free.groupBy("block", F.pmod("h", F.lit(HUBS)).alias("hub")).agg(F.min_by("node", "h").alias("node"))
             hubs = chunks.join(free, ["block", "node"], "left_semi").select("node", "block", "parts", "n", "set")
             links = stored(links.union(_ask(hubs, chunks, percent)), "hubs")
         groups = connected(links)
