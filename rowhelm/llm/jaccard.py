@@ -260,7 +260,7 @@ def _search_chunk(percent: int) -> callable:
 def _ask(queries: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
     """Links of ``queries`` (node, block, parts, n, set) with all of their blocks, chunk by chunk."""
     asked = stored(queries, "asked")
-    per_block = asked.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("asks_in"))
+    per_block = asked.groupBy("block").agg(F.ceil(F.sum("n") / (CHUNK // 8)).cast("int").alias("asks_in"))
     asked = (
         asked.join(per_block, "block")
         .withColumn("part", F.expr("pmod(xxhash64(node, 5), asks_in)").cast("int"))
