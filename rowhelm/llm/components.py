@@ -21,6 +21,7 @@ def connected(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "links",
+        free=False,
     )
     nodes = links.select("a").union(links.select("b")).distinct().filter("a is not null").withColumnRenamed("a", "node")
     before = None
@@ -35,6 +36,6 @@ def connected(links: DataFrame) -> DataFrame:
         # now each node with its smaller neighbours
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "stars", free=False)
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -285,7 +285,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) ->
     total = sized.filter("parts = 1").agg(F.sum("total")).first()[0] or 0
     large = sized.filter("parts > 1").limit(1).count()
     placed = blocks.join(sized, "root").select("node", F.col("root").alias("block"), "parts")
-    full = placed.join(sets.select("row", "n", "set"), F.col("node") == F.col("row")).drop("row")
+    full = stored(placed.join(sets.select("row", "n", "set"), F.col("node") == F.col("row")).drop("row"), "full")
     bins = max(1, -(-int(total) // chunk))
     whole = (
         full.filter("parts = 1")
@@ -295,7 +295,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) ->
     )
     found = stored(whole, "linked")
     if large:
-        chunks = stored(full.filter("parts > 1").withColumn("chunk", F.expr("pmod(xxhash64(node, 3), parts)").cast("int")), "chunks")
+        chunks = full.filter("parts > 1").withColumn("chunk", F.expr("pmod(xxhash64(node, 3), parts)").cast("int"))
         links = stored(chunks.select(F.col("node").alias("a"), F.col("node").alias("b")), "self")
         for turn in range(HUB_ROUNDS):
             met = links.filter("a != b").select("a").union(links.filter("a != b").select("b")).distinct()

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowhelm.llm.storage import stored
+from rowhelm.llm.storage import drop_stored, stored
 
 HEAVY = 1 << 14
 SHARDS = 128
@@ -126,6 +126,8 @@ def build(
     total = parts.filter("shard is not null").agg(F.sum("n")).first()[0] or 0
     heavy = parts.filter("item is not null").groupBy("item").agg(F.sum("n").alias("n"))
     rows = heavy.filter(F.col("n") >= max(8, total // share)).collect()  # at most `share` rows of two longs
+    drop_stored(merged)
+    drop_stored(parts)
     items = np.array([r.item for r in rows], np.int64).view(np.uint64)
     by = np.argsort(items)
     return counters, items[by], np.array([r.n for r in rows], np.int64)[by]

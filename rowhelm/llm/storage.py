@@ -17,11 +17,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read back: cuts the lineage, survives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """``df`` written once as Parquet and read back: cuts the lineage, survives lost executors.
+
+    With ``free``, the driver collects its garbage, so that Spark's cleaner drops the shuffle files of
+    finished jobs now and not when the driver happens to need memory.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of a table made by ``stored`` that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
