@@ -44,6 +44,8 @@ from rowhelm.llm.words import Slice, mix, slices, span_sums
 SHINGLE = 5
 PERCENT = 80
 CHUNK = 1 << 18
+#: Tasks that a large block should have at least.
+TASKS = 16
 #: Weight of the list length in the choice of how many lists are long.
 MU = 0.01
 #: Hubs that are searched in a large block in each round, and rounds.
@@ -260,7 +262,10 @@ def _search_chunk(percent: int) -> callable:
 def _ask(queries: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
     """Links of ``queries`` (node, block, parts, n, set) with all of their blocks, chunk by chunk."""
     asked = stored(queries, "asked")
-    per_block = asked.groupBy("block").agg(F.ceil(F.sum("n") / (CHUNK // 8)).cast("int").alias("asks_in"))
+    # each part of the queries costs a copy of the block's chunks: more than the memory asks for only to have some tasks
+    n = F.sum("n")
+    fair = F.least(F.ceil(n / (CHUNK // 8)), F.ceil(F.lit(TASKS) / F.max("parts")))
+    per_block = asked.groupBy("block").agg(F.greatest(F.ceil(n / CHUNK), fair).cast("int").alias("asks_in"))
     asked = (
         asked.join(per_block, "block")
         .withColumn("part", F.expr("pmod(xxhash64(node, 5), asks_in)").cast("int"))
