@@ -102,7 +102,8 @@ class Model:
         self.names = names
         chance = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
         self.logs = np.log(chance).astype(np.float32)
-        self.logs -= self.logs.mean(axis=0)
+        if len(names):
+            self.logs -= self.logs.mean(axis=0)
         self.uses = scripts > 0.001 * scripts.sum(axis=1, keepdims=True)
 
     def word_scores(self, part) -> tuple[np.ndarray, np.ndarray]:
