@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rowhelm.llm.storage import bounded_sample, stored
 
 MAX_LABELLED = 2000
-LETTERS = 8
+LETTERS = 12
 SURE_AFTER = 60.0
 STEPS = 60
 #: Posteriors are rounded, so that documents alike share a group in the fit.
