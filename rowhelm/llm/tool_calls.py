@@ -1,9 +1,9 @@
 """Chat formatting: tool calls linked with their results, ordered, validated, as canonical JSON.
 
 Calls (call_id, name, arguments: map of texts, depends_on: ids) and results (call_id, content) are
-joined by identifier. A call's level is the longest chain of calls below it: each round takes the
-calls with no call left to wait for, so there are as many rounds as levels. Arguments are
-checked against schemas (name, argument, type, required), a table of a user's tools. The JSON has
+joined by identifier. A call's level is the longest chain of calls below it. A round shortens every
+chain of calls by half, so a chain takes as many rounds as the logarithm of its length; only where calls
+wait for several open calls can it be one for each level. Arguments are checked against schemas (name, argument, type, required), a table of a user's tools. The JSON has
 its keys in order, no white space, and nulls spelled out. DataFrame operations only.
 
 Nulls and repeats: calls with a null id are dropped. Of calls that repeat an id the one with the
@@ -25,20 +25,44 @@ TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean":
 
 
 def levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
-    """call_id and level (0: waits for none; null: on or behind a cycle). waits: (call_id, needs), both known calls."""
-    left = stored(waits.distinct(), "waits")
-    todo = calls.select("call_id")
-    done, level = None, 0
+    """call_id and level (0: waits for none; null: on or behind a cycle). waits: (call_id, needs), both known calls.
+
+    A row (call_id, needs, steps) says: the level is at least that of ``needs`` plus ``steps``, or ``steps``
+    where ``needs`` is null. A round puts the rows of a needed call that itself waits for at most one other in
+    its place, so chains halve, and a call whose needs are all settled is settled. When a round settles no
+    call, the open ones are on or behind a cycle.
+    """
+    start = calls.select("call_id", F.lit(None).cast("string").alias("needs"), F.lit(0).cast("bigint").alias("steps"))
+    rows = stored(start.union(waits.distinct().select("call_id", "needs", F.lit(1).cast("bigint"))), "waits")
+    n_open = None
     while True:
-        blocked = left.select("call_id").distinct()
-        ready = stored(todo.join(blocked, "call_id", "left_anti").withColumn("level", F.lit(level)), "ready")
-        done = ready if done is None else done.union(ready)
-        if not ready.limit(1).count():
+        waiting = rows.filter("needs is not null")
+        left = waiting.select("call_id").distinct().count()
+        if left in (0, n_open):
             break
-        todo = blocked
-        left = stored(left.join(ready.select(F.col("call_id").alias("needs")), "needs", "left_anti").select("call_id", "needs"), "waits")
-        level += 1
-    return calls.select("call_id").join(done, "call_id", "left")
+        n_open = left
+        steps = F.col("steps")
+        single = (
+            rows.groupBy(F.col("call_id").alias("needs"))
+            .agg(
+                F.count("needs").alias("n"), F.max("needs").alias("next"),
+                F.max(F.when(F.col("needs").isNull(), steps)).alias("own"), F.max(F.when(F.col("needs").isNotNull(), steps)).alias("on"),
+            )
+            .filter("n <= 1")
+        )
+        # Steps round a cycle would grow without end; a true level never comes near this.
+        further = lambda more: F.least(steps + more, F.lit(2**53))
+        settled = F.struct(F.lit(None).cast("string").alias("needs"), further(F.col("own")).alias("steps"))
+        onward = F.struct(F.col("next").alias("needs"), further(F.col("on")).alias("steps"))
+        replaced = (
+            F.when(F.col("n").isNull(), F.array(F.struct("needs", "steps")))
+            .when(F.col("next").isNull(), F.array(settled))
+            .otherwise(F.array(settled, onward))
+        )
+        moved = waiting.join(single, "needs", "left").select("call_id", F.inline(replaced))
+        rows = stored(rows.filter("needs is null").unionByName(moved).groupBy("call_id", "needs").agg(F.max("steps").alias("steps")), "waits")
+    level = F.when(F.count("needs") == 0, F.max("steps")).cast("int")
+    return rows.groupBy("call_id").agg(level.alias("level"))
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -162,3 +162,18 @@ def test_pipeline(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_levels_of_chains_branches_and_cycles(spark):
+    edges = {(i, i - 1) for i in range(1, 40)} | {(i, i // 2) for i in range(41, 60)} | {(i, i - 3) for i in range(44, 60)}
+    edges |= {(70, 72), (72, 71), (71, 70), (73, 70), (74, 74), (75, 73), (75, 3)} | {(76, i) for i in range(10)}
+    nodes, level = {n for e in edges for n in e}, {}
+    for _ in nodes:
+        for n in nodes:
+            needs = [b for a, b in edges if a == n]
+            if all(b in level for b in needs):
+                level[n] = max([level[b] + 1 for b in needs], default=0)
+    calls = spark.createDataFrame([(str(n),) for n in nodes], "call_id string")
+    waits = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "call_id string, needs string")
+    found = {int(r.call_id): r.level for r in tool_calls.levels(calls, waits).collect()}
+    assert found == {n: level.get(n) for n in nodes}
