@@ -13,6 +13,12 @@ from rowhelm.types import CRITICAL, HIGH, LOW, MEDIUM, is_complex
 # Values up to this many bytes are grouped as they are, longer ones by digest.
 INLINE_KEY_BYTES = 64
 DIGEST_PREFIX = "sha256:"
+# Nested moments keep their microseconds, and instants do not depend on the session time zone.
+JSON_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timeZone": "UTC",
+}
 
 
 def quoted(name: str) -> str:
@@ -32,6 +38,28 @@ def as_number(field: T.StructField) -> Column:
     return clean(field).cast("double")
 
 
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype)
+    return isinstance(dtype, T.MapType) or (isinstance(dtype, T.ArrayType) and _has_map(dtype.elementType))
+
+
+def _maps_sorted(column: Column, dtype: T.DataType) -> Column:
+    """Every map at any depth becomes its sorted entries, so that entry order does not matter."""
+    if not _has_map(dtype):
+        return column
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(column, lambda x: _maps_sorted(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        inner = [_maps_sorted(column.getField(f.name), f.dataType).alias(f.name) for f in dtype]
+        return F.when(column.isNotNull(), F.struct(*inner))
+    entries = F.transform(
+        F.map_entries(column),
+        lambda e: F.struct(e["key"].alias("key"), _maps_sorted(e["value"], dtype.valueType).alias("value")),
+    )
+    return F.array_sort(entries)
+
+
 def as_text(field: T.StructField) -> Column:
     """A string that is equal exactly when the values are equal."""
     column = clean(field)
@@ -40,10 +68,10 @@ def as_text(field: T.StructField) -> Column:
         return column
     if isinstance(dtype, T.BinaryType):
         return F.base64(column)
-    if isinstance(dtype, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(column)))
     if is_complex(dtype):
-        return F.to_json(column)
+        return F.to_json(_maps_sorted(column, dtype), JSON_OPTIONS)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(column).cast("string")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return (column + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
     return column.cast("string")

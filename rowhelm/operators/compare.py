@@ -6,7 +6,7 @@ compared as profiled, that is rounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowhelm.operators.profile import TableSummary
@@ -90,7 +90,10 @@ def _paired(current: DataFrame, baseline: DataFrame) -> DataFrame:
             *[F.col(c).alias(f"{prefix}_{c}") for c in COMPARED],
         )
 
-    return side(current, "cur").join(side(baseline, "base"), "column", "full_outer")
+    both = side(current, "cur").join(side(baseline, "base"), "column", "full_outer")
+    # A missing column has no current row, but its change belongs to the current dataset too.
+    table = Window.partitionBy(F.lit(1))  # one row per column of the table
+    return both.withColumn("cur_dataset", F.max("cur_dataset").over(table))
 
 
 def _schema_rules() -> list[Column]:

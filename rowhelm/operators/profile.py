@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowhelm.functions.scalars import (
-    INLINE_KEY_BYTES,
     as_number,
     as_text,
     clean,
     percent,
     row_digest,
-    value_key,
     whole_days_between,
 )
 from rowhelm.operators.frequency import distinct_stats, most_common, spelled_out, value_frequency
@@ -178,27 +176,13 @@ def column_profile(df: DataFrame, name: str = "dataset", statistics: Sequence[st
     )
 
 
-# Rows of up to this many fixed-width bytes are grouped by their values, wider ones by digest.
-ROW_KEY_BYTES = 512
-
-
-def _row_key(df: DataFrame) -> list[Column]:
-    """Columns of bounded width that are equal exactly when the rows are."""
-    fields = df.schema.fields
-    if sum(fixed_width(f.dataType) or INLINE_KEY_BYTES for f in fields) > ROW_KEY_BYTES:
-        return [row_digest(fields).alias("digest")]
-    return [
-        (clean(f) if fixed_width(f.dataType) else value_key(as_text(f))).alias(f"k{i}") for i, f in enumerate(fields)
-    ]
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``(row_count, duplicate_rows)``: rows that repeat an earlier row.
 
-    Narrow rows are grouped as they are, long texts and wide rows by SHA-256. Rows are
-    counted before the shuffle, so one row repeated many times does not load one task.
+    Rows of any width are grouped by a 32-byte SHA-256 of all values. They are counted
+    before the shuffle, so one row repeated many times does not load one task.
     """
-    rows = df.select(*_row_key(df))
+    rows = df.select(row_digest(df.schema.fields).alias("digest"))
     return (
         rows.groupBy(*rows.columns)
         .agg(F.count(F.lit(1)).alias("copies"))

@@ -136,24 +136,29 @@ def synth_items(
     A category is drawn first, then one of its products. The join key is (category, rank),
     which spreads a popular category over all its products.
     """
-    ranked = ranked_products(products)
-    sizes = ranked.groupBy("category").agg(F.max("category_size").alias("category_size"))
+    # At most one row per category of the fixed list.
+    counted = products.filter(F.col("category").isin(CATEGORIES)).groupBy("category").count().collect()
+    sizes = {row["category"]: row["count"] for row in counted}
+    if not sizes:
+        raise ValueError("no products of a known category")
+    drawn = {c: w for c, w in zip(CATEGORIES, weights or NORMAL_WEIGHTS) if c in sizes}
+    # An item is drawn among the categories that have products, so no order loses items.
+    all_weights = 1.0 if len(drawn) == len(CATEGORIES) else sum(drawn.values()) or 1.0
+    drawn = {c: w / all_weights for c, w in drawn.items()}
+    category_size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("category")]
     lines = orders.select("order_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("item_count"))).alias("line"))
     key = [F.col("order_id"), F.col("line")]
     lines = lines.select(
         "order_id",
         "line",
-        pick_weighted(hash_fraction(seed, "item category", *key), CATEGORIES, weights or NORMAL_WEIGHTS).alias("category"),
+        _pick(hash_fraction(seed, "item category", *key), drawn).alias("category"),
         hash_fraction(seed, "product", *key).alias("product_fraction"),
         _pick(hash_fraction(seed, "quantity", *key), QUANTITY_WEIGHTS).cast("bigint").alias("quantity"),
         ((1 - NOISE) + 2 * NOISE * hash_fraction(seed, "item price", *key)).alias("price_factor"),
     )
-    # One row per category of the fixed list.
-    lines = lines.join(F.broadcast(sizes), "category").withColumn(
-        "rank", F.floor(F.col("product_fraction") * F.col("category_size")).cast("bigint")
-    )
+    lines = lines.withColumn("rank", F.floor(F.col("product_fraction") * category_size).cast("bigint"))
     price = F.round(F.col("base_price") * F.col("price_factor"), 2)
-    return lines.join(ranked.drop("category_size"), ["category", "rank"]).select(
+    return lines.join(ranked_products(products).drop("category_size"), ["category", "rank"]).select(
         F.format_string("ITEM_%s_%d", "order_id", "line").alias("item_id"),
         "order_id",
         "product_id",
@@ -164,8 +169,8 @@ def synth_items(
 
 
 def synth_order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """The orders with ``total_amount``, the sum of price times quantity of their items."""
+    """The orders with ``total_amount``, the sum of price times quantity of their items; 0 without items."""
     totals = items.groupBy("order_id").agg(
         F.round(F.sum(F.col("unit_price") * F.col("quantity")), 2).alias("total_amount")
     )
-    return orders.join(totals, "order_id")
+    return orders.join(totals, "order_id", "left").fillna(0.0, ["total_amount"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,13 @@ BOOLEAN_TEXT = r"^([Tt]rue|[Ff]alse|TRUE|FALSE)$"
 def find_csv_datasets(spark: SparkSession, directory: str) -> dict[str, str]:
     """Name and path of each ``*.csv`` file, or directory of part files, by sorted name."""
     root = directory.rstrip("/")
-    files = spark.read.format("binaryFile").load(f"{root}/*.csv").inputFiles()  # names only
+    try:
+        files = spark.read.format("binaryFile").load(f"{root}/*.csv").inputFiles()  # names only
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.read.format("binaryFile").load(root)  # raises if the directory itself is missing
+        files = []
     names = {m.group(1) for f in files if (m := re.search(r"/([^/]+)\.csv(/[^/]*)?$", unquote(f)))}
     return {name: f"{root}/{name}.csv" for name in sorted(names)}
 
@@ -41,6 +48,20 @@ def _has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return row["odd"] == 1
 
 
+def _whole_lines(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """The file as texts. A line with more fields than the header raises an error when it is read."""
+    reader = _reader(spark, multi_line)
+    names = reader.csv(path).columns
+    if not names:
+        raise ValueError(f"no columns in {path}")
+    more = "_more"
+    while more in names:
+        more += "_"
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, more]])
+    extra = F.raise_error(F.lit(f"a line with more than {len(names)} fields in {path}")).cast("boolean")
+    return reader.schema(fields).csv(path).filter(F.when(F.col(more).isNotNull(), extra).otherwise(True)).drop(more)
+
+
 def _blank_missing(df: DataFrame) -> DataFrame:
     return df.select(
         *[F.when(~F.col(quoted(c)).isin(MISSING_TEXTS), F.col(quoted(c))).alias(c) for c in df.columns]
@@ -89,13 +110,12 @@ def read_csv(
 
     Without a schema the types are inferred from all values, after the usual texts for a
     missing value became NULL. Files are split among tasks unless quoted values contain
-    newlines, which is found out by a scan when ``multi_line`` is not given.
+    newlines, which is found out by a scan when ``multi_line`` is not given. Missing fields at
+    the end of a line are NULL; a line with more fields than the header is an error.
     """
     if multi_line is None:
         multi_line = _has_quoted_newlines(spark, path)
-    texts = _blank_missing(_reader(spark, multi_line).csv(path))
-    if not texts.columns:
-        raise ValueError(f"no columns in {path}")
+    texts = _blank_missing(_whole_lines(spark, path, multi_line))
     types = [f.dataType.simpleString() for f in schema] if schema else infer_types(texts)
     names = schema.names if schema else texts.columns
     return texts.select(

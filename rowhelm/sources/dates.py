@@ -17,42 +17,62 @@ from rowhelm.types import datetime_columns
 # Parts of a column name that suggest a date.
 DATE_WORDS = ["date", "time", "timestamp", "created", "updated"]
 
-# Accepted texts and how Spark reads them.
+# Accepted texts by format. Texts of ISO are cast; month-first goes before day-first.
 DATE_FORMATS = {
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$": "yyyy-MM-dd HH:mm",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$": "yyyy-MM-dd'T'HH:mm:ss",
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$": "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]",
-    r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}$": "yyyy-MM-dd'T'HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]",
-    r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd",
-    r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy",
+    "iso day": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "iso minute": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$",
+    "iso T minute": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}$",
+    "iso second": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+    "iso T second": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$",
+    "iso fraction": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,9}$",
+    "iso T fraction": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}\.\d{1,9}$",
+    "zoned second": r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$",
+    "zoned fraction": r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}\.\d{1,9}(Z|[+-]\d{2}:\d{2})$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Z][a-z]{2} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$",
 }
 
+# No date is longer; other texts are ruled out before any pattern is tried.
+LONGEST_DATE = 40
 
-# What all of them have in common; other columns are ruled out by this alone.
-DATE_LIKE = r"^\d{2,4}[-/]\d{2}[-/]\d{2,4}([ T][\d:.]{5,15})?$"
 
+def _utc(instant: Column) -> Column:
+    """The wall clock of an instant in UTC, whatever the session time zone."""
+    seconds = (F.unix_micros(instant) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
-def _parsed(column: Column, pattern: str) -> Column:
-    """The moment, or NULL if the text is not of this format."""
-    moment = F.try_to_timestamp(column, F.lit(DATE_FORMATS[pattern])).cast("timestamp_ntz")
-    return F.when(column.rlike(pattern), moment)
+
+def _parsed(column: Column, name: str) -> Column:
+    """The moment (in UTC if the text has a zone), or NULL if the text is not of this format."""
+    if name.startswith("iso"):
+        moment = column.try_cast("timestamp_ntz")
+    elif name.startswith("zoned"):
+        moment = _utc(column.try_cast("timestamp"))
+    else:
+        moment = F.try_to_timestamp(column, F.lit(name)).cast("timestamp_ntz")
+    return F.when((F.octet_length(column) <= LONGEST_DATE) & column.rlike(DATE_FORMATS[name]), moment)
 
 
 def _date_like(df: DataFrame, columns: list[str]) -> list[str]:
+    any_format = "|".join(dict.fromkeys(DATE_FORMATS.values()))
     tests = []
     for i, name in enumerate(columns):
         column = F.col(quoted(name))
         tests.append(F.count(column).alias(f"filled_{i}"))
-        tests.append(F.count(F.when(column.rlike(DATE_LIKE), True)).alias(f"like_{i}"))
+        tests.append(F.count(F.when((F.octet_length(column) <= LONGEST_DATE) & column.rlike(any_format), True)).alias(f"like_{i}"))
     row = df.agg(*tests).first()
     return [name for i, name in enumerate(columns) if 0 < row[f"filled_{i}"] == row[f"like_{i}"]]
 
 
 def matching_formats(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """The pattern that fits all non-null values of each column, if there is one."""
+    """The format that fits all non-null values of each column, if there is one."""
     found: dict[str, str | None] = dict.fromkeys(columns)
     candidates = _date_like(df, columns) if columns else []
     if not candidates:
@@ -69,8 +89,8 @@ def matching_formats(df: DataFrame, columns: list[str]) -> dict[str, str | None]
     return found
 
 
-def parse_column(df: DataFrame, name: str, pattern: str) -> DataFrame:
-    return df.withColumn(name, _parsed(F.col(quoted(name)), pattern))
+def parse_column(df: DataFrame, name: str, fitting: str) -> DataFrame:
+    return df.withColumn(name, _parsed(F.col(quoted(name)), fitting))
 
 
 def _text_names(df: DataFrame) -> list[str]:
