@@ -28,7 +28,7 @@ SHARDS = 128
 PIECES = 8
 TOP = 3
 MAX_BYTES = 1 << 26
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 _ODD = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 
 
