@@ -4,15 +4,18 @@
    node. The trees of a host are folded into one wrapper by simple tree matching: children are
    aligned by dynamic programming over the sizes of the matched subtrees, unmatched ones are added.
    Equal trees are folded once; a host's trees are folded in parts, then the parts.
-2. The text in each node of the wrapper is counted over all pages of the host. Text that most pages
-   have at the same node is template; a node whose text varies is a slot.
+2. The text in each node of the wrapper is counted over the distinct contents of the host's pages, so
+   copies of a page count once. Text that most of them have at the same node is template; a node whose
+   text varies is a slot.
 3. Each page is read again beside its host's wrapper: the main text is the article element if there
    is one, else the slots that aren't mostly links. Menus, forms, adverts, comments and the like,
    known by tag or class, are left out, and so is template text.
 
 Nulls and empties: null or empty html gives empty text; text without markup is one block. A page
-without a URL, or with one that has no host, has the host ''. Repeated rows count each. Hosts of
-under ``MIN_PAGES`` pages have no template. An empty table gives an empty result. Extra columns
+without a URL, or with one that has no host, has the host ''. Pages of a host with the same blocks
+of text count once, whatever their URLs. Hosts of under ``MIN_PAGES`` distinct contents have no
+template. Template text inside an article goes only if it is the lesser part of it: the pages are near
+copies otherwise. An empty table gives an empty result. Extra columns
 are ignored.
 """
 
@@ -249,7 +252,7 @@ def digest(text: str) -> int:
 
 
 def extract(page: str | None, wrapper: list | None, constant: dict) -> str:
-    """Main text of a page. constant: (place, digest of a block) -> share of the host's pages."""
+    """Main text of a page. constant: (place, digest of a block) -> share of the host's distinct contents."""
     if not page:
         return ""
     root = parse(page)
@@ -259,7 +262,11 @@ def extract(page: str | None, wrapper: list | None, constant: dict) -> str:
     if found:
         best = max(found, key=lambda x: sum(len(t) for t, _, _, _ in blocks(*x)))
         # a site header is outside of articles; one inside holds the title
-        return " ".join(t for t, at, _, _ in blocks(*best) if not at or constant.get((at, digest(t)), 0) < INSIDE_SHARE)
+        whole = [(t, at) for t, at, _, _ in blocks(*best)]
+        own = [t for t, at in whole if not at or constant.get((at, digest(t)), 0) < INSIDE_SHARE]
+        if 2 * sum(map(len, own)) < sum(len(t) for t, _ in whole):
+            own = [t for t, _ in whole]  # near copies of one article
+        return " ".join(own)
     kept = []
     for text, at, links, node in blocks(root, place):
         if at and constant.get((at, digest(text)), 0) >= OUTSIDE_SHARE or 2 * links > len(text):
@@ -271,19 +278,22 @@ def extract(page: str | None, wrapper: list | None, constant: dict) -> str:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (host, html): host, tree, and for each block its node (number in page order) and digest."""
+    """Of (host, html): host, tree, for each block its node (number in page order) and digest, and a digest of all blocks."""
     for batch in batches:
-        trees, nodes, digests = [], [], []
+        trees, nodes, digests, contents = [], [], [], []
         for page in batch.column(1).to_pylist():
             root = parse(page or "")
             tree = skeleton(root)
             numbers = _numbered(tree)
-            own = dict.fromkeys((n, digest(t)) for t, n, _, _ in blocks(root, numbers))
+            found = [(n, digest(t)) for t, n, _, _ in blocks(root, numbers)]
+            own = dict.fromkeys(found)
+            contents.append(xxhash.xxh3_128_digest(",".join(str(d) for _, d in found)))
             trees.append(json.dumps(tree, separators=(",", ":")))
             nodes.append([n for n, _ in own])
             digests.append([d for _, d in own])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(trees, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.int64()))], ["host", "tree", "nodes", "digests"]
+            [batch.column(0), pa.array(trees, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.int64())), pa.array(contents, pa.binary())],
+            ["host", "tree", "nodes", "digests", "content"],
         )
 
 
@@ -358,16 +368,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) and constant: its blocks that most pages have (place, digest, share)."""
-    read = stored(pages.select("host", "html").mapInArrow(_trees, "host string, tree string, nodes array<int>, digests array<long>"), "trees")
-    counts = read.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    """host, wrapper (JSON) and constant: its blocks that most distinct contents have (place, digest, share)."""
+    read = stored(pages.select("host", "html").mapInArrow(_trees, "host string, tree string, nodes array<int>, digests array<long>, content binary"), "trees")
+    counts = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    once = read.groupBy("host", "content").agg(F.min(F.struct("tree", "nodes", "digests")).alias("page")).select("host", "page.*")
     trees = read.groupBy("host", "tree").agg(F.count("*").alias("n"))
     parts = trees.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(PARTS)).cast("int"))
     parts = parts.repartition("host", "part").sortWithinPartitions("host", "part", F.desc("n"), "tree").select("host", "part", "tree")
     parts = parts.mapInPandas(_fold_rows(["host", "part"]), "host string, part int, tree string")
     whole = parts.repartition("host").sortWithinPartitions("host", "part").mapInPandas(_fold_rows(["host"]), "host string, tree string")
     found = stored(whole.withColumnRenamed("tree", "wrapper").join(counts, "host"), "wrappers")
-    placed = read.join(found.select("host", "wrapper"), "host").select("host", "tree", "wrapper", "nodes", "digests")
+    placed = once.join(found.select("host", "wrapper"), "host").select("host", "tree", "wrapper", "nodes", "digests")
     shares = (
         placed.mapInArrow(_placed, "host string, place string, digest long")
         .groupBy("host", "place", "digest")

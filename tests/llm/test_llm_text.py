@@ -239,6 +239,16 @@ def test_html_main_text(spark):
     assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
+def test_html_copies_of_an_article_keep_their_text(spark):
+    page = "<nav><a href=/%d>N</a></nav><article><h1>One title</h1><p>A first paragraph.<p>A second one that is longer.%s</article>"
+    rows = [(i, f"http://copies.org/{i}", page % (i, "")) for i in range(8)]
+    rows += [(100 + i, f"http://mirror.org/{i}", page % (i, f"<p>Seen {i}")) for i in range(8)]  # one line differs
+    rows += [(200 + i, f"http://plain.org/{i}", "<div><h2>One title</h2><p>A first paragraph.</div>") for i in range(8)]
+    out = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "One title A first paragraph. A second one that is longer."
+    assert all(out[i] == text and out[100 + i] == f"{text} Seen {i}" and out[200 + i] == "One title A first paragraph." for i in range(8))
+
+
 def test_tree_matching_and_fold():
     a = ["x", [["p", []], ["q", [["r", []]]], ["p", []]]]
     b = ["x", [["q", [["r", []], ["s", []]]], ["t", []], ["p", []]]]
