@@ -7,9 +7,10 @@
 2. The text in each node of the wrapper is counted over the distinct contents of the host's pages, so
    copies of a page count once. Text that most of them have at the same node is template; a node whose
    text varies is a slot.
-3. Each page is read again beside its host's wrapper: the main text is the article element if there
-   is one, else the slots that aren't mostly links. Menus, forms, adverts, comments and the like,
-   known by tag or class, are left out, and so is template text.
+3. Each page is read again beside its host's wrapper: the main text is the outermost article
+   elements in page order if there are any, else the slots that aren't mostly links. Menus, forms, adverts,
+   comments and the like, known by tag or by a whole class token, are left out, and so is template text;
+   article elements in what is left out by class are taken if the page has no others.
 
 Nulls and empties: null or empty html gives empty text; text without markup is one block. A page
 without a URL, or with one that has no host, has the host ''. Pages of a host with the same blocks
@@ -25,6 +26,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -46,12 +48,18 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figcapt
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 LEFT_OUT = set("head nav footer aside form button select dialog object canvas audio video map datalist menu".split()) | RAW
-# Words in class, id or role that mark what isn't the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|toast"
+# Words in class, id or role that mark what isn't the article. A token counts as a whole: all its
+# parts are marks, or marks and words that say nothing (site-footer, but not has-sidebar or market-share).
+MARK = re.compile(
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|toast"
     r"|comments?|disqus|replies|respond|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar"
     r"|related|recommend\w*|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|skip|pagination|pager|tags"
-    r"|complementary|contentinfo)(?=$|[\s_-]|\d)",
+    r"|complementary|contentinfo)\d*",
+    re.I,
+)
+NEUTRAL = re.compile(
+    r"(?:|\d+|site|page|global|main|primary|secondary|top|bottom|header|post|posts|article|articles|entry|stories|list|items?|links?|buttons?|icons?"
+    r"|area|bar|block|box|container|form|inner|module|outer|panel|section|slot|unit|wrap|wrapper)\d*",
     re.I,
 )
 HEADERS = re.compile(r"(?:^|[\s_-])(?:site-?)?header(?=$|[\s_-]|\d)", re.I)
@@ -228,22 +236,32 @@ def blocks(node: Node, place: list | None) -> Iterator[tuple[str, str | None, in
             yield text, place and place[0], links, node
 
 
+@lru_cache(1 << 14)
+def marked(names: str) -> bool:
+    for token in names.split():
+        parts = re.split("[_-]", token)
+        marks = [bool(MARK.fullmatch(x)) for x in parts]
+        if any(marks) and all(m or NEUTRAL.fullmatch(x) for m, x in zip(marks, parts)):
+            return True
+    return False
+
+
 def left_out(node: Node) -> bool:
-    return node.tag in LEFT_OUT or bool(node.names and MARKS.search(node.names) and node.tag not in ("body", "html", "article", "main"))
+    return node.tag in LEFT_OUT or bool(node.names and node.tag not in ("body", "html", "article", "main") and marked(node.names))
 
 
-def mains(node: Node, place: list | None) -> list[tuple[Node, list | None]]:
-    """Outermost elements that say they hold the article."""
+def mains(node: Node, place: list | None, within: bool = False) -> list[tuple[Node, list | None]]:
+    """Outermost elements that say they hold the article, in page order; with ``within`` also article and main elements inside what is left out by class."""
     out = []
     for item in node.items:
-        if isinstance(item, Node) and not left_out(item):
+        if isinstance(item, Node) and (item.tag not in LEFT_OUT if within else not left_out(item)):
             own = place[1][item.skeleton] if place else None
-            if item.tag in ("article", "main") or item.names and MAINS.search(item.names):
-                inner = mains(item, own) if item.tag != "article" else []
+            if item.tag in ("article", "main") or item.names and MAINS.search(item.names) and not left_out(item):
+                inner = mains(item, own, within) if item.tag != "article" else []
                 articles = [x for x in inner if x[0].tag == "article"]
                 out += articles if item.tag == "main" and articles else [(item, own)]
             else:
-                out += mains(item, own)
+                out += mains(item, own, within)
     return out
 
 
@@ -258,15 +276,20 @@ def extract(page: str | None, wrapper: list | None, constant: dict) -> str:
     root = parse(page)
     tree = skeleton(root)
     place = places(wrapper, tree) if wrapper else None
-    found = mains(root, place)
-    if found:
-        best = max(found, key=lambda x: sum(len(t) for t, _, _, _ in blocks(*x)))
+    any_found = False
+    # comments and teasers may be article elements too, so those inside what is left out count only if there is no other
+    for within in (False, True):
+        found = mains(root, place, within)
         # a site header is outside of articles; one inside holds the title
-        whole = [(t, at) for t, at, _, _ in blocks(*best)]
-        own = [t for t, at in whole if not at or constant.get((at, digest(t)), 0) < INSIDE_SHARE]
-        if 2 * sum(map(len, own)) < sum(len(t) for t, _ in whole):
-            own = [t for t, _ in whole]  # near copies of one article
-        return " ".join(own)
+        whole = [(t, at) for x in found for t, at, _, _ in blocks(*x)]
+        if whole:
+            own = [t for t, at in whole if not at or constant.get((at, digest(t)), 0) < INSIDE_SHARE]
+            if 2 * sum(map(len, own)) < sum(len(t) for t, _ in whole):
+                own = [t for t, _ in whole]  # near copies of one article
+            return " ".join(own)
+        any_found = any_found or bool(found)
+    if any_found:
+        return ""
     kept = []
     for text, at, links, node in blocks(root, place):
         if at and constant.get((at, digest(text)), 0) >= OUTSIDE_SHARE or 2 * links > len(text):

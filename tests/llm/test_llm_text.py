@@ -249,6 +249,20 @@ def test_html_copies_of_an_article_keep_their_text(spark):
     assert all(out[i] == text and out[100 + i] == f"{text} Seen {i}" and out[200 + i] == "One title A first paragraph." for i in range(8))
 
 
+@pytest.mark.parametrize("names", ["content has-sidebar", "with-nav", "search-result", "no-comments", "market-share", "sidebar", "comments"])
+def test_html_article_in_a_marked_wrapper(names):
+    assert html_text.extract(f"<div class='{names}'><article><p>Text</p></article></div>", None, {}) == "Text"
+    plain = html_text.extract(f"<div class='{names}'><p>Text</p></div>", None, {})
+    assert plain == ("" if names in ("sidebar", "comments") else "Text")
+
+
+def test_html_article_in_several_elements():
+    page = "<article><p>One</article><div class=comment-list><article>Nice!</article></div><div class=ad>Buy</div><article><p>Two, longer</article>"
+    assert html_text.extract(page, None, {}) == "One Two, longer"
+    left = ["site-footer", "cookie-notice", "comments-area", "ad-slot", "nav-primary", "related-posts", "share_buttons", "ad2", "widget-1"]
+    assert not any(html_text.extract(f"<div class='x {n}'>Text</div>", None, {}) for n in left)
+
+
 def test_tree_matching_and_fold():
     a = ["x", [["p", []], ["q", [["r", []]]], ["p", []]]]
     b = ["x", [["q", [["r", []], ["s", []]]], ["t", []], ["p", []]]]
