@@ -7,8 +7,9 @@ documents.
 1. ``quality_rules`` rejects documents by the base rules and the learned list.
 2. ``ngram_jaccard`` keeps one document of each group of near-duplicates.
 3. ``substring_dedup`` takes repeated passages out of the texts; a document of which nothing is left goes.
-4. ``source_mixing`` repeats documents so that the languages reach their target weights. The mixture is larger
-   than its input and its targets raise every language, so no document is lost to it.
+4. ``source_mixing`` repeats documents so that the languages reach their target weights. Every document
+   stays at least once: no rate is below 1, a language without a target keeps its share, and the mixture is as
+   large as the largest share over its target asks for.
 5. ``best_fit_packing`` packs what there is into sequences; repeats of a document don't share one.
 
 An empty table passes through all stages. Extra columns of the documents pass through all but the last.

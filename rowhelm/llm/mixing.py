@@ -7,11 +7,13 @@
    d. Rates are fitted to the targets by projected gradient steps from r = 1 (accelerated, scaled
    by the words; squared errors are weighted by the domains' shares, which makes the problem well conditioned): each step is one aggregate of D sums over all documents, and the rates are a function of
    the steps so far, so no rate is stored or moved between steps.
+3. Where every document is to be kept, no rate is below 1, a domain without a target keeps its own share, and
+   the mixture is as large as the most over-represented domain needs to come down to its target.
 
 Nulls and empties: null or empty text has no words; its posterior is the domains' share and its rate
 follows from that. Labels with a null id or domain teach nothing. Rows that repeat an id are separate
-documents. Domains without a target get target 0; targets without a labelled domain are unreachable and
-left out. Without labels there is one domain '' that takes all. An empty table gives an empty
+documents. Domains without a target get target 0 (their own share where every document is kept); targets
+without a labelled domain are unreachable and left out. Without labels there is one domain '' that takes all. An empty table gives an empty
 result. Extra columns are ignored by ``rates`` and kept by ``resample``.
 """
 
@@ -93,21 +95,21 @@ def _dot(p: Column, g: Column) -> Column:
     return F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
 
 
-def rate_after(steps: list[tuple[list[float], float]]) -> tuple[Column, Column]:
-    """(rate, look-ahead) of a row with posterior ``p`` after the steps (gradient, momentum)."""
+def rate_after(steps: list[tuple[list[float], float]], floor: float = 0.0) -> tuple[Column, Column]:
+    """(rate, look-ahead) of a row with posterior ``p`` after the steps (gradient, momentum); no rate is below ``floor``."""
     if not steps:
         return F.lit(1.0), F.lit(1.0)
     history = F.array(*(F.struct(_vector(g).alias("g"), F.lit(m).alias("m")) for g, m in steps))
 
     def step(state, move):
-        rate = F.greatest(F.lit(0.0), state.y - _dot(F.col("p"), move.g))
+        rate = F.greatest(F.lit(floor), state.y - _dot(F.col("p"), move.g))
         return F.struct(rate.alias("r"), (rate + move.m * (rate - state.r)).alias("y"))
 
     end = F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)
     return end.r, end.y
 
 
-def fit(base: DataFrame, n_domains: int, goal: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[tuple[list[float], float]]:
+def fit(base: DataFrame, n_domains: int, goal: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, floor: float = 0.0) -> list[tuple[list[float], float]]:
     """Steps that bring the words by domain to ``goal`` (shares of all words) for rows (n_tokens, p)."""
     groups = stored(base.groupBy("p").agg(F.sum("n_tokens").alias("n")).filter("n > 0"), "groups")  # equal posteriors have equal rates
     total = groups.agg(F.sum("n")).first()[0] or 0
@@ -116,7 +118,7 @@ def fit(base: DataFrame, n_domains: int, goal: list[float], steps: int = STEPS,
         return taken
     t, shares = 1.0, None
     for _ in range(steps):
-        rate, ahead = rate_after(taken)
+        rate, ahead = rate_after(taken, floor)
         now = groups.select("p", (rate * F.col("n")).alias("r"), (ahead * F.col("n")).alias("y"))
         sums = now.agg(*(F.sum(F.col("p")[d] * F.col(c)) for c in ("r", "y") for d in range(n_domains))).first()
         at = [s / total for s in sums]
@@ -129,10 +131,28 @@ def fit(base: DataFrame, n_domains: int, goal: list[float], steps: int = STEPS,
     return taken
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float = 1.0, columns: list[str] | None = None) -> DataFrame:
+def whole_goal(base: DataFrame, domains: list[str], targets: dict[str, float], size: float) -> list[float]:
+    """Goals that need no rate below 1: shares of all words, ``size`` in sum or more."""
+    sums = base.agg(F.sum("n_tokens"), *(F.sum(F.col("p")[d] * F.col("n_tokens")) for d in range(len(domains)))).first()
+    if not sums[0]:
+        return [size / len(domains)] * len(domains)
+    shares = [s / sums[0] for s in sums[1:]]
+    wanted = {d: max(0.0, targets[d]) for d in domains if d in targets}
+    free = sum(s for d, s in zip(domains, shares) if d not in wanted)
+    whole = sum(wanted.values())
+    goal = [wanted[d] / whole * max(0.0, 1 - free) if whole and d in wanted else s for d, s in zip(domains, shares)]
+    # a target of 0 can't be met by repeating others; the floor keeps its documents
+    size = max([size, *(s / g for s, g in zip(shares, goal) if g > 0)])
+    return [size * g for g in goal]
+
+
+def rates(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float = 1.0, columns: list[str] | None = None, keep_all: bool = False
+) -> DataFrame:
     """doc_id (or ``columns``), n_tokens, a posterior column for each domain, and the rate.
 
-    The targets are weights; the mixture has ``size`` times the words of the documents.
+    The targets are weights; the mixture has ``size`` times the words of the documents. With ``keep_all``, no
+    rate is below 1 and the mixture is larger where the targets need it.
     """
     columns = ["doc_id"] if columns is None else columns
     model = learn(docs, labelled)
@@ -141,18 +161,21 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size:
     wanted = [max(0.0, targets.get(d, 0.0)) for d in domains]
     whole = sum(wanted)
     goal = [size * w / whole for w in wanted] if whole else [size / len(domains)] * len(domains)
-    rate, _ = rate_after(fit(base, len(domains), goal))
+    if keep_all:
+        goal = whole_goal(base, domains, targets, size)
+    floor = 1.0 if keep_all else 0.0
+    rate, _ = rate_after(fit(base, len(domains), goal, floor=floor), floor)
     return base.select(*columns, "n_tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), rate.alias("rate"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float = 1.0) -> DataFrame:
-    """The documents with their columns, each as often as its rate says.
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], size: float = 1.0, keep_all: bool = True) -> DataFrame:
+    """The documents with their columns, each as often as its rate says; at least once with ``keep_all``.
 
     The whole part of the rate gives sure copies, a hash of the id and copy decides on the rest.
     """
     own = {c: f"_kept_{k}" for k, c in enumerate(docs.columns)}
     carried = docs.select("*", *(F.col(c).alias(n) for c, n in own.items()))
-    rated = rates(carried, labelled, targets, size, list(own.values()))
+    rated = rates(carried, labelled, targets, size, list(own.values()), keep_all)
     chance = F.pmod(F.xxhash64(own["doc_id"], F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return rated.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -101,6 +101,25 @@ def test_mixing_meets_targets(spark):
     assert mixing.rates(docs.limit(0), labelled, {"a": 1.0}).count() == 0
 
 
+def test_mixture_keeps_every_document(spark):
+    rng = random.Random(8)
+    letters = {"a": "abcd", "b": "efgh", "c": "ijkl", "d": "mnop", "e": "qrst"}
+    many = ["a"] * 160 + ["b"] * 12 + ["c"] * 10 + ["d"] * 8 + ["e"] * 10  # 80 % of one, a fifth without a target
+    rows = [(i, " ".join("".join(rng.choice(letters[d]) for _ in range(5)) for _ in range(40)), d) for i, d in enumerate(many)]
+    docs = spark.createDataFrame(rows + [(900, None, None), (901, "", None)], "doc_id long, text string, source string")
+    labelled = docs.filter("doc_id < 900").select("doc_id", F.col("source").alias("domain"))
+    targets = {"a": 0.5, "b": 0.2, "c": 0.2, "d": 0.1}
+    out = mixing.resample(docs, labelled, targets, 1.25).groupBy("doc_id", "source").count().toPandas()
+    assert set(out["doc_id"]) == {i for i, _, _ in rows} | {900, 901}
+    rated = mixing.rates(docs, labelled, targets, 1.25, keep_all=True).toPandas()
+    assert (rated["rate"] >= 1).all()
+    words = {d: (rated["rate"] * rated["n_tokens"] * rated[f"p_{d}"]).sum() for d in letters}
+    share = rated["n_tokens"].mul(rated["p_e"]).sum() / rated["n_tokens"].sum()
+    for d, target in targets.items():
+        assert abs(words[d] / sum(words.values()) - target * (1 - share)) < 0.01
+    assert abs(words["e"] / sum(words.values()) - share) < 0.01
+
+
 def test_projection_keeps_rates_nonnegative(spark):
     rows = [(float(n), [1.0, 0.0]) for n in (10, 20)] + [(30.0, [0.0, 1.0])]
     base = spark.createDataFrame(rows, "n_tokens double, p array<double>")
