@@ -74,7 +74,8 @@ CHAT_TOOLS = [
 
 def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of the conversations: each user turn calls for a reply, which needs the call two turns before; the assistant's next turn is its result."""
-    call_id = lambda shift: F.concat_ws(":", "conv_id", F.col("turn") - shift)
+    # a null conversation or turn gives a null id
+    call_id = lambda shift: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - shift).cast("string"))
     users = conversations.filter("role = 'user'")
     calls = users.select(
         call_id(0).alias("call_id"),

@@ -6,8 +6,9 @@ chain of calls by half, so a chain takes as many rounds as the logarithm of its
 wait for several open calls can it be one for each level. Arguments are checked against schemas (name, argument, type, required), a table of a user's tools. The JSON has
 its keys in order, no white space, and nulls spelled out. DataFrame operations only.
 
-Nulls and repeats: calls with a null id are dropped. Of calls that repeat an id the one with the
-smallest (name, arguments) stays; of results the smallest content, and ``n_results`` counts them. Results without a
+Nulls and repeats: calls with a null id are dropped. Calls that repeat an id but not their name, arguments
+and dependencies have a row each and share a level, which waits for what any of them needs; equal ones are one. Of
+results the smallest content stays, and ``n_results`` counts them. Results without a
 call are left out. A missing result is null. Null arguments are none; a null value counts as not
 given. A dependency that isn't a call is an error and not waited for; so is a repeated one counted once. Calls on a
 cycle, or behind one, have a null level and an error. An empty table gives an empty result. Extra
@@ -66,10 +67,10 @@ def levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """call_id and its errors in order, for calls that have any."""
+    """call_id, variant and its errors in order, for calls that have any."""
     tools = schemas.groupBy("name").agg(F.collect_list(F.struct("argument", "type", "required")).alias("tool"))
     given = F.map_filter(F.coalesce("arguments", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
-    both = calls.select("call_id", "name", given.alias("given")).join(tools, "name", "left")
+    both = calls.select("call_id", "variant", "name", given.alias("given")).join(tools, "name", "left")
 
     def fits(kind: Column, value: Column) -> Column:
         out = F.lit(False)
@@ -85,7 +86,7 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     known = F.transform("tool", lambda a: a.argument)
     extra = F.transform(F.array_except(F.map_keys("given"), known), lambda k: F.concat(F.lit("unknown:"), k))
     errors = F.when(F.col("tool").isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(F.concat(missing, wrong, extra)))
-    return both.select("call_id", errors.alias("errors")).filter(F.size("errors") > 0)
+    return both.select("call_id", "variant", errors.alias("errors")).filter(F.size("errors") > 0)
 
 
 def canonical_json(call_id: Column, name: Column, arguments: Column, result: Column) -> Column:
@@ -96,27 +97,23 @@ def canonical_json(call_id: Column, name: Column, arguments: Column, result: Col
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """call_id, level, n_results, valid, errors (joined by commas) and json of each call."""
+    """call_id, level, n_results, valid, errors (joined by commas) and json of each distinct call."""
     entries = F.array_sort(F.map_entries("arguments"))
-    order = F.struct(F.col("name"), entries.alias("entries"), F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"))
-    calls = (
-        calls.filter("call_id is not null")
-        .groupBy("call_id")
-        .agg(F.min(order).alias("call"))
-        .select("call_id", "call.name", F.map_from_entries("call.entries").alias("arguments"), "call.depends_on")
-    )
-    calls = stored(calls, "calls")
+    depends_on = F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>")))
+    calls = calls.filter("call_id is not null").select("call_id", "name", entries.alias("entries"), depends_on.alias("depends_on")).distinct()
+    variant = F.sha2(F.to_json(F.struct("name", "entries", "depends_on")), 256)
+    calls = stored(calls.select("call_id", "name", F.map_from_entries("entries").alias("arguments"), "depends_on", variant.alias("variant")), "calls")
     answers = results.filter("call_id is not null").groupBy("call_id").agg(F.min("content").alias("result"), F.count("*").alias("n_results"))
-    needs = calls.select("call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    needs = calls.select("call_id", F.explode("depends_on").alias("needs")).distinct()
     known = needs.join(calls.select(F.col("call_id").alias("needs"), F.lit(True).alias("known")), "needs", "left")
     known = stored(known, "needs")
     lost = known.filter("known is null").groupBy("call_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("dependency:"), F.coalesce("needs", F.lit(""))))).alias("lost"))
-    placed = levels(calls, known.filter("known").select("call_id", "needs"))
+    placed = levels(calls.select("call_id").distinct(), known.filter("known").select("call_id", "needs"))
     none = F.array().cast("array<string>")
     out = (
         calls.join(answers, "call_id", "left")
         .join(placed, "call_id")
-        .join(argument_errors(calls, schemas), "call_id", "left")
+        .join(argument_errors(calls, schemas), ["call_id", "variant"], "left")
         .join(lost, "call_id", "left")
     )
     cycle = F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(none)

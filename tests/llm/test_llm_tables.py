@@ -1,5 +1,6 @@
 """Search, packing, mixing, chat, the registered queries and the pipeline."""
 
+import json
 import random
 
 import numpy as np
@@ -144,6 +145,14 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(calls.limit(0), results, schemas).count() == 0
 
 
+def test_chat_calls_with_null_and_repeated_ids(spark):
+    rows = [(None, 0, "user", "p"), (None, 0, "user", "q"), (1, None, "user", "r"), (7, 0, "user", "b"), (7, 0, "user", "a"), (7, 0, "user", "a"), (7, 1, "assistant", "x"), (7, 2, "user", "c")]
+    calls, results = queries.chat_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    schemas = spark.createDataFrame(queries.CHAT_TOOLS, "name string, argument string, type string, required boolean")
+    out = [(r.call_id, r.level, json.loads(r.json)["arguments"]["prompt"], r.n_results, r.valid) for r in tool_calls.link_calls(calls, results, schemas).collect()]
+    assert sorted(out) == [("7:0", 0, "a", 1, True), ("7:0", 0, "b", 1, True), ("7:2", 1, "c", 0, True)]
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     import duckdb
