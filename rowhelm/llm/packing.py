@@ -7,6 +7,9 @@ and a large source are spread evenly; each shard packs its rests, longest first:
 ordered by the room they have left and carry bitmaps of their sources and clusters, and the search
 goes on from the tightest bin that has room to the next until one is compatible.
 
+Clusters are equal texts, a column of the documents, or names by (doc_id, text_key) such as the components of
+near-duplicates.
+
 Nulls and empties: null or empty text is one piece of 0 words. A null source or cluster conflicts
 with nothing. Ties are settled by id. Repeated rows are packed each (equal texts are one cluster, so
 not together). An empty table gives an empty result. Extra columns are ignored.
@@ -100,14 +103,22 @@ def _pack(capacity: int, per_source: int) -> callable:
 
 
 def pack(
-    docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_words: int = SHARD_WORDS, cluster=None
+    docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_words: int = SHARD_WORDS, cluster=None, near: DataFrame | None = None
 ) -> DataFrame:
-    """doc_id, piece, first_token, n_tokens and the bin of each piece. ``cluster``: a column; the text's hash by default."""
+    """doc_id, piece, first_token, n_tokens and the bin of each piece. ``cluster``: a column; the text's hash by default.
+
+    ``near``: (doc_id, text_key, component), which goes before ``cluster``; text_key is xxhash64 of the text. Rows
+    that aren't in it keep their cluster.
+    """
     cluster = F.when(F.octet_length("text") > 0, F.xxhash64("text")) if cluster is None else cluster
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    own = docs.select("text", "doc_id", F.col("source").cast("string").alias("source"), cluster.cast("string").alias("cluster"))
-    own = own.mapInArrow(_lengths, f"doc_id {kinds['doc_id']}, source string, cluster string, n long")
+    own = docs.select("text", "doc_id", F.col("source").cast("string").alias("source"), cluster.cast("string").alias("cluster"), F.xxhash64("text").alias("text_key"))
+    own = own.mapInArrow(_lengths, f"doc_id {kinds['doc_id']}, source string, cluster string, text_key long, n long")
     sized = stored(own.withColumn("row", F.monotonically_increasing_id()), "sized")
+    if near is not None:
+        names = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat(F.lit("near "), "component").alias("_name")).distinct()
+        named = sized.join(names, sized["doc_id"].eqNullSafe(F.col("_id")) & (sized["text_key"] == F.col("_key")), "left")
+        sized = stored(named.withColumn("cluster", F.coalesce("_name", "cluster")).select(*sized.columns), "clustered")
     total = sized.agg(F.sum(F.col("n") % capacity)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_words))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1)))).select(

@@ -56,7 +56,8 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack(docs, near=jaccard.components(docs).filter("n_shingles > 0"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,19 @@ def test_packing_keeps_all_words(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_not_packed_together(spark, monkeypatch):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:59] + [f"x{i}"]), f"s{i}") for i in range(6)] + [(10 + i, f"own{i} words{i}", "s") for i in range(4)]
+    rows += [(20, None, "s"), (None, " ".join(base), "t"), (21, " \n", "s"), (21, " \n", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(queries, "read_table", lambda *_: docs)
+    out = queries.op6_best_fit_packing(spark, SF).collect()
+    assert len(out) == len(rows)
+    bins = [r.bin for r in out if r.doc_id is None or r.doc_id < 6]
+    assert len(bins) == len(set(bins)) == 7
+    assert len({r.bin for r in out if r.doc_id == 21}) == 2
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(6)
     letters = {"a": "abcde", "b": "uvwxy"}
