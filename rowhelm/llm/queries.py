@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowhelm.llm import html_text, jaccard, language_id, mixing, packing, quality_knn, quality_rules, substring, tool_calls, topk
+from rowhelm.llm import html_text, jaccard, language_id, mixing, packing, quality_knn, quality_rules, substring, tool_calls, topk, variants
 from rowhelm.sources.tables import read_table
 
 
@@ -106,11 +106,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+#: One in so many words of a document loses a letter, as the contract asks.
+TYPO_EVERY = 97
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.spelling_variants(docs, typo_every=TYPO_EVERY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_source_mixing, op2_substring_dedup, op3_ngram_jaccard, op4_topk_search, op5_quality_classifier,
         op6_best_fit_packing, op7_html_extraction, op8_chat_formatting, op9_language_id, op10_quality_rules,
+        op13_spelling_variants,
     )
 }
 
