@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowhelm.llm import html_text, jaccard, language_id, mixing, packing, quality_knn, quality_rules, substring, tool_calls, topk, variants
+from rowhelm.llm import html_text, jaccard, language_id, lexical, mixing, packing, quality_knn, quality_rules, substring, tool_calls, topk, variants
 from rowhelm.sources.tables import read_table
 
 
@@ -106,6 +106,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 #: One in so many words of a document loses a letter, as the contract asks.
 TYPO_EVERY = 97
 
@@ -120,7 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_source_mixing, op2_substring_dedup, op3_ngram_jaccard, op4_topk_search, op5_quality_classifier,
         op6_best_fit_packing, op7_html_extraction, op8_chat_formatting, op9_language_id, op10_quality_rules,
-        op13_spelling_variants,
+        op11_lexical_search, op13_spelling_variants,
     )
 }
 
@@ -156,4 +161,33 @@ FROM calls c JOIN levels l USING (call_id) LEFT JOIN results r USING (call_id)
 JOIN (SELECT call_id, needs IS NOT NULL AND needs NOT IN (SELECT call_id FROM calls) AS lost FROM calls) e USING (call_id)
 """
 
-ORACLES: dict[str, str] = {"op4_topk_search": _ORDERED_TOP_K, "op8_chat_formatting": _CHAT}
+_LEXICAL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL
+), filled AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM filled
+), items AS (
+  SELECT item_id, row_number() OVER (ORDER BY item_id, text) AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM benchmark WHERE text IS NOT NULL
+), asked AS (
+  SELECT item_id, item, term, CAST(count(*) AS BIGINT) AS repeats FROM (SELECT item_id, item, unnest(t) AS term FROM items) GROUP BY ALL
+), tf AS (
+  SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(t) AS term FROM filled) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY term, n_docs
+), s AS (
+  SELECT item_id, item, doc_id, row,
+         CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN filled USING (row), total
+  WHERE doc_id IS NOT NULL GROUP BY item_id, item, doc_id, row
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0
+)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM r WHERE n <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_topk_search": _ORDERED_TOP_K, "op8_chat_formatting": _CHAT, "op11_lexical_search": _LEXICAL}

@@ -58,10 +58,10 @@ def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
 class Slice:
     """Rows ``first`` to ``last`` of a batch: their bytes, words and hashes."""
 
-    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE):
         self.first, self.data, self.offsets = first, data, offsets
         self.rows = len(offsets) - 1
-        white = WHITE[data]
+        white = separators[data]
         before = np.empty_like(white)
         before[:1] = True
         before[1:] = white[:-1]
@@ -121,10 +121,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, size: int = SLICE) -> Iterator[Slice]:
+def slices(column: pa.Array, size: int = SLICE, separators: np.ndarray = WHITE) -> Iterator[Slice]:
     data, offsets = text_buffers(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
-        yield Slice(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        yield Slice(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], separators)
         first = last
