@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowhelm.llm import html_text, jaccard, language_id, lexical, mixing, packing, quality_knn, quality_rules, substring, tool_calls, topk, variants
+from rowhelm.llm import html_text, jaccard, language_id, lexical, minhash, mixing, packing, quality_knn, quality_rules, substring, tool_calls, topk, variants
 from rowhelm.sources.tables import read_table
 
 
@@ -111,6 +111,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: One in so many words of a document loses a letter, as the contract asks.
 TYPO_EVERY = 97
 
@@ -125,7 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_source_mixing, op2_substring_dedup, op3_ngram_jaccard, op4_topk_search, op5_quality_classifier,
         op6_best_fit_packing, op7_html_extraction, op8_chat_formatting, op9_language_id, op10_quality_rules,
-        op11_lexical_search, op13_spelling_variants,
+        op11_lexical_search, op12_minhash_dedup, op13_spelling_variants,
     )
 }
 
@@ -190,4 +194,30 @@ WITH d AS (
 SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM r WHERE n <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_topk_search": _ORDERED_TOP_K, "op8_chat_formatting": _CHAT, "op11_lexical_search": _LEXICAL}
+_MINHASH = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+), n AS (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s
+), one AS (
+  SELECT doc_id, unnest(s) AS s FROM s
+), two AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM one a JOIN one b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM two JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), step AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT r.a, step.b FROM reach r JOIN step ON r.b = step.a
+), least AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op12_minhash_dedup": _MINHASH, "op4_topk_search": _ORDERED_TOP_K, "op8_chat_formatting": _CHAT, "op11_lexical_search": _LEXICAL}
