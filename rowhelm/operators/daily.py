@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowhelm.functions.scalars import as_number, clean, day_of, percent, quoted
+from rowhelm.functions.scalars import DIGEST_PREFIX, INLINE_KEY_BYTES, as_number, as_text, clean, day_of, percent, quoted, value_key
 from rowhelm.operators.frequency import spelled_out, value_frequency
-from rowhelm.operators.melt import column_name, rows_from_structs
+from rowhelm.operators.melt import column_name, melt, rows_from_structs
 from rowhelm.types import categorical_columns, numeric_columns
 
 DAY = "_day"
@@ -25,18 +25,24 @@ class DailyProfile:
                    min, max, std -- and one row per day with a NULL column for the table
     ``categories`` dataset, day, day_idx, n_days, column, key, cnt, share -- observed
                    values only; ``n_days`` is the number of days of the dataset
+    ``texts``      dataset, column, key, text -- of the categories whose key is a digest; a frame that
+                   was not stored may repeat rows
     """
 
     volume: DataFrame
     columns: DataFrame
     categories: DataFrame | None = None
+    texts: DataFrame | None = None
 
     def union(self, other: "DailyProfile") -> "DailyProfile":
-        shares = [c for c in (self.categories, other.categories) if c is not None]
+        def both(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
+            return a.unionByName(b) if a is not None and b is not None else a if b is None else b
+
         return DailyProfile(
             self.volume.unionByName(other.volume),
             self.columns.unionByName(other.columns),
-            shares[0].unionByName(shares[1]) if len(shares) == 2 else (shares or [None])[0],
+            both(self.categories, other.categories),
+            both(self.texts, other.texts),
         )
 
 
@@ -149,6 +155,31 @@ def with_category_text(df: DataFrame, frame: DataFrame) -> DataFrame:
     ).drop("col_no")
 
 
+def category_texts(df: DataFrame, date_column: str, columns: Sequence[str] | None = None, name: str = "dataset") -> DataFrame:
+    """``(dataset, column, key, text)``: the dictionary of the values that are grouped by digest.
+
+    A row for each such value and its repeats; ``save_daily`` keeps one of each, and findings look up theirs only.
+    """
+    if columns is None:
+        columns = categorical_columns(df, date_column)
+    return (
+        melt(with_day(df, date_column), columns, as_text)
+        .filter(F.octet_length("value") > INLINE_KEY_BYTES)
+        .select(F.lit(name).alias("dataset"), column_name(columns).alias("column"), value_key(F.col("value")).alias("key"), F.col("value").alias("text"))
+    )
+
+
+def with_known_text(texts: DataFrame, frame: DataFrame) -> DataFrame:
+    """Add ``category`` to a small frame with ``dataset``, ``column`` and ``key``: the text, or the key that is the value.
+
+    The dictionary is read only if a digest is among the keys.
+    """
+    names = ["dataset", "column", "key"]
+    digests = frame.filter(F.col("key").startswith(DIGEST_PREFIX)).select(*names).distinct()
+    known = texts.join(digests, names, "left_semi").select(*names, "text").distinct()
+    return frame.join(known, names, "left").withColumn("category", F.coalesce("text", "key")).drop("text")
+
+
 def daily_profile(
     df: DataFrame,
     date_column: str,
@@ -164,6 +195,7 @@ def daily_profile(
         volume,
         daily_columns(df, date_column, numeric, name, with_table_row=True),
         daily_category_share(df, date_column, categorical, name, volume) if categorical else None,
+        category_texts(df, date_column, categorical, name) if categorical else None,
     )
 
 

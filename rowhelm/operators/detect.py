@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowhelm.functions.scalars import severity, zscore
-from rowhelm.operators.daily import DailyProfile, with_category_text
+from rowhelm.operators.daily import DailyProfile, with_category_text, with_known_text
 from rowhelm.types import (
     DISTRIBUTION_SHIFT,
     HIGH,
@@ -173,15 +173,27 @@ def detect_series(columns: DataFrame, thresholds: DetectionThresholds = DEFAULTS
     return _findings(series, findings)
 
 
+def share_candidates(categories: DataFrame, limit: float) -> DataFrame:
+    """``(dataset, column, key)`` of the categories that can be flagged at all.
+
+    A finding needs a share, or a mean of earlier shares, above the limit, so the category's share is above it on
+    some day. A day has at most ``1 / limit`` of these in a column: their number depends on days and columns only.
+    """
+    return categories.filter(F.col("share") > limit).select("dataset", "column", "key").distinct()
+
+
 def share_history(categories: DataFrame, thresholds: DetectionThresholds = DEFAULTS) -> DataFrame:
     """``(dataset, day_idx, column, key, share, expected)`` wherever a share can be flagged.
 
     ``expected`` is the mean share over all earlier days, a day without the category
     counting as 0. Those days are not filled in one by one: after an observed day the sum
     of shares stays the same until the next one, so ``expected`` falls as sum / day_idx
-    and exceeds the threshold only up to day sum / threshold. Just these days are made.
+    and exceeds the threshold only up to day sum / threshold. Just these days are made, and only
+    for the categories that can be flagged (``share_candidates``).
     """
     limit = thresholds.share_shift
+    if limit > 0:
+        categories = categories.join(share_candidates(categories, limit), ["dataset", "column", "key"], "left_semi")
     first = max(thresholds.min_history_days, 1)
     past = Window.partitionBy("dataset", "column", "key").orderBy("day_idx")
     runs = (
@@ -216,17 +228,21 @@ def detect_distribution(
     volume: DataFrame,
     thresholds: DetectionThresholds = DEFAULTS,
     source: DataFrame | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Categories whose share of the day moved away from their mean share before.
 
-    Given the ``source`` table, categories known by digest are spelled out.
+    Categories known by digest are spelled out from ``texts`` (see ``category_texts``) or the ``source`` table;
+    without either they are named by their digest.
     """
     calendar = volume.select("dataset", "day_idx", "day")
     found = share_history(categories, thresholds).join(calendar, ["dataset", "day_idx"])
-    if source is None:
-        found = found.withColumn("category", F.col("key"))
-    else:
+    if texts is not None:
+        found = with_known_text(texts, found)
+    elif source is not None:
         found = with_category_text(source, found)
+    else:
+        found = found.withColumn("category", F.col("key"))
     share, expected = F.col("share"), F.col("expected")
     size = F.abs(share - expected)
     text = F.format_string(
@@ -257,13 +273,13 @@ def detect_all(
     """The findings of all five detectors. Sort with :func:`in_report_order`.
 
     The share threshold is always the default one here; only ``detect_distribution``
-    takes another.
+    takes another. Long categories are spelled out from the daily profile; ``source`` serves profiles without texts.
     """
     found = detect_series(daily.columns, thresholds)
     if daily.categories is None:
         return found
     fixed_share = DetectionThresholds(min_history_days=thresholds.min_history_days)
-    return found.unionByName(detect_distribution(daily.categories, daily.volume, fixed_share, source))
+    return found.unionByName(detect_distribution(daily.categories, daily.volume, fixed_share, source, daily.texts))
 
 
 def in_report_order(anomalies: DataFrame) -> DataFrame:

@@ -16,12 +16,13 @@ def value_frequency(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
 
     One shuffle serves all columns. Values are counted before it, so a value holding a
     third of all rows arrives as one row per task, and the key is at most 71 bytes, so
-    long texts are never shuffled.
+    long texts are not shuffled here (``spelled_out`` may, see there).
     """
     return (
         melt(df, columns, as_text, by)
         .filter(F.col("value").isNotNull())
         .select(*by, "col_no", value_key(F.col("value")).alias("key"), F.length("value").alias("chars"))
+        .filter(F.col("key").isNotNull())  # a join on the key asks for this; said here, the shuffle is still shared
         .groupBy(*by, "col_no", "key")
         .agg(F.count(F.lit(1)).alias("cnt"), F.max("chars").cast("bigint").alias("chars"))
     )

@@ -17,9 +17,10 @@ from rowhelm.functions.scalars import (
     row_digest,
     whole_days_between,
 )
-from rowhelm.operators.frequency import distinct_stats, most_common, spelled_out, value_frequency
-from rowhelm.operators.melt import column_name, rows_from_structs
+from rowhelm.operators.frequency import distinct_stats, value_frequency
+from rowhelm.operators.melt import rows_from_structs
 from rowhelm.operators.quantiles import exact_quantiles
+from rowhelm.operators.ranking import text_statistics
 from rowhelm.types import fixed_width, is_datetime, is_numeric, numeric_columns, text_columns
 
 NUMERIC_STATS = ["mean", "std", "min_value", "max_value"]
@@ -116,25 +117,14 @@ def numeric_profile(df: DataFrame) -> DataFrame:
 
 
 def text_profile(df: DataFrame, k: int = 5) -> DataFrame:
-    """``(column, unique_count, unique_percent, avg_length, top_values)``; k = 0 leaves the last out."""
+    """``(column, unique_count, unique_percent, avg_length, top_values)``; k = 0 leaves the last out.
+
+    Ties among top values are in the order of the values.
+    """
     names = text_columns(df)
-    frequency = value_frequency(df, names)
-    distinct = distinct_stats(frequency, names)
     if k == 0:
-        return distinct
-    top = (
-        spelled_out(df, names, most_common(frequency, k))
-        .groupBy("col_no")
-        # At most k rows per column.
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value", F.col("cnt").alias("count")))).alias("top"))
-        .select(
-            column_name(names).alias("column"),
-            F.transform("top", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count"))).alias(
-                "top_values"
-            ),
-        )
-    )
-    return distinct.join(top, "column")
+        return distinct_stats(value_frequency(df, names), names)
+    return text_statistics(df, names, k)
 
 
 def datetime_profile(df: DataFrame) -> DataFrame:

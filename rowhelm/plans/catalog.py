@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowhelm.functions.scalars import hash_fraction, severity
-from rowhelm.operators import compare, daily, detect, frequency, inject, profile, rules, synth
+from rowhelm.operators import compare, daily, detect, frequency, inject, profile, ranking, rules, synth
 from rowhelm.operators.daily import daily_profile
 from rowhelm.plans import reports, runs
 from rowhelm.sources.dates import find_date_column, parse_dates_by_name
 from rowhelm.sources.tables import read_table
-from rowhelm.types import text_columns
+from rowhelm.types import DetectionThresholds, text_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -213,6 +213,12 @@ def top_values(spark: SparkSession, sf: str) -> DataFrame:
     return _per_table(spark, sf, lambda df: frequency.top_values(df, text_columns(df)), "documents", "orders", "conversations")
 
 
+def top_values_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _per_table(
+        spark, sf, lambda df: ranking.exact_top_values(df, text_columns(df)), "documents", "pages", "benchmark", "conversations", "orders"
+    )
+
+
 def datetime_span_days(spark: SparkSession, sf: str) -> DataFrame:
     return _per_table(spark, sf, profile.datetime_profile, "events", "orders", "lineitem").select(
         "dataset", "column", F.to_date("min_date").alias("first_day"), F.to_date("max_date").alias("last_day"),
@@ -323,6 +329,20 @@ def detect_all(spark: SparkSession, sf: str) -> DataFrame:
     return _anomalies(_faulty_anomalies(spark, sf))
 
 
+def described_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events with planted faults; their type is a long description, another for each third of the users."""
+    words = F.concat(F.lit("an event of the type "), "event_type", F.lit(", as the application describes it to group "))
+    group = F.concat((F.col("event_id") % 3).cast("string"), F.lit(" of the users"))
+    return faulty_events(spark, sf).withColumn("event_type", F.concat(words, group)).drop("props")
+
+
+def detect_long_categories(spark: SparkSession, sf: str) -> DataFrame:
+    events = described_events(spark, sf)
+    low = DetectionThresholds(share_shift=0.05)
+    days = daily_profile(events, "ts", name="events")
+    return _anomalies(detect.detect_distribution(days.categories, days.volume, low, texts=days.texts))
+
+
 def enriched_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines with the day of their order and the brand of their part."""
     lines = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag")
@@ -472,6 +492,7 @@ QUERIES: dict[str, Query] = {
     "numeric_quartiles": numeric_quartiles,
     "string_uniques": string_uniques,
     "top_values": top_values,
+    "top_values_by_text": top_values_by_text,
     "avg_length": avg_length,
     "datetime_span_days": datetime_span_days,
     "column_profile": column_profile,
@@ -488,6 +509,7 @@ QUERIES: dict[str, Query] = {
     "detect_mean_shift": detect_mean_shift,
     "detect_distribution": detect_distribution,
     "detect_all": detect_all,
+    "detect_long_categories": detect_long_categories,
     "enriched_detect_distribution": enriched_detect_distribution,
     "cmp_row_count": cmp_row_count,
     "cmp_null_rate": _column_comparison(compare.compare_null_rate),

@@ -95,6 +95,12 @@ BASELINE_SCHEMA = SCHEMAS["events"] | {"origin": ("t", None)}
 CURRENT_SCHEMA = SCHEMAS["events"] | {"channel": ("t", None)}
 
 
+DESCRIBED = (
+    "(SELECT ts, 'an event of the type ' || event_type || ', as the application describes it to group ' || (event_id % 3)::varchar || ' of the users' AS event_type "
+    f"FROM {FAULTY} d)"
+)
+
+
 def source(name: str) -> tuple[str, dict]:
     return (FAULTY, SCHEMAS["events"]) if name == "faulty_events" else (name, SCHEMAS[name])
 
@@ -167,6 +173,13 @@ def top_of(name: str, column: str) -> str:
         FROM {name} WHERE {column} IS NOT NULL GROUP BY {column}) WHERE rank <= 5"""
 
 
+def top_by_value(name: str, column: str) -> str:
+    """By the rule: most occurrences first, then the smaller value, however long."""
+    return f"""SELECT '{name}' AS dataset, '{column}' AS "column", rank, value, cnt FROM (
+        SELECT value, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, value) AS rank
+        FROM (SELECT {column} AS value FROM {name} WHERE {column} IS NOT NULL) GROUP BY value) WHERE rank <= 5"""
+
+
 # ---- days and history ----------------------------------------------------------------
 
 PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -238,7 +251,7 @@ def mean_findings(src: str, date: str, schema: dict) -> str:
                    scored(daily_columns(src, date, schema), "mean", '"column"'), "day_idx >= 5 AND n >= 5 AND x IS NOT NULL AND abs(z) > 3.0")
 
 
-def share_findings(src: str, date: str, columns: list[str]) -> str:
+def share_findings(src: str, date: str, columns: list[str], limit: float = 0.15) -> str:
     """Every category on every day, absent ones as 0."""
     dense = f"""SELECT day, day_idx, "column", category, coalesce(share, 0) AS share,
         avg(coalesce(share, 0)) OVER (PARTITION BY "column", category ORDER BY day {PAST}) AS mu
@@ -246,7 +259,7 @@ def share_findings(src: str, date: str, columns: list[str]) -> str:
         CROSS JOIN (SELECT DISTINCT "column", category FROM ({shares(src, date, columns)}) k)
         LEFT JOIN ({shares(src, date, columns)}) f USING (day, "column", category)"""
     return finding(4, "'distribution_shift'", "CASE WHEN abs(share - mu) < 0.25 THEN 'medium' ELSE 'high' END", '"column"',
-                   "mu * 100", "share * 100", "0.0::double", dense, "day_idx >= 5 AND abs(share - mu) > 0.15", "category")
+                   "mu * 100", "share * 100", "0.0::double", dense, f"day_idx >= 5 AND abs(share - mu) > {limit}::double", "category")
 
 
 def all_findings(src: str, date: str, schema: dict) -> str:
@@ -406,6 +419,9 @@ ORACLES: dict[str, str] = {
     "numeric_quartiles": f'SELECT "column", percentile_25, percentile_50, percentile_75 FROM ({column_profiles("lineitem", LINES)}) p WHERE mean IS NOT NULL',
     "string_uniques": columns_of(["documents", "customer", "part", "embeddings"], '"column", unique_count, unique_percent', "unique_count IS NOT NULL"),
     "top_values": union([top_of(n, c) for n in ("documents", "orders", "conversations") for c in of_kind(SCHEMAS[n], "t")]),
+    "top_values_by_text": union(
+        [top_by_value(n, c) for n in ("documents", "pages", "benchmark", "conversations", "orders") for c in (of_kind(SCHEMAS[n], "t") if n in SCHEMAS else PLAIN_TEXTS[n])]
+    ),
     "avg_length": columns_of(["documents", "pages", "conversations"], '"column", avg_length', "unique_count IS NOT NULL"),
     "datetime_span_days": union([f"""SELECT '{n}' AS dataset, '{c}' AS "column", min({c})::date AS first_day, max({c})::date AS last_day, date_sub('day', min({c}), max({c})) AS date_range_days FROM {n}""" for n, c in DATES.items()]),
     "column_profile": f"SELECT 'events' AS dataset, p.* FROM ({column_profiles(FAULTY, EVENTS)}) p",
@@ -428,6 +444,7 @@ ORACLES: dict[str, str] = {
     "detect_mean_shift": anomalies(mean_findings("lineitem", "l_shipdate", LINES)),
     "detect_distribution": anomalies(share_findings("orders", "o_orderdate", of_kind(ORDERS, "t"))),
     "detect_all": anomalies(FAULTY_FINDINGS),
+    "detect_long_categories": anomalies(share_findings(DESCRIBED, "ts", ["event_type"], 0.05)),
     "enriched_detect_distribution": anomalies(share_findings(ENRICHED, "o_orderdate", ["l_returnflag", "o_orderpriority", "p_brand"])),
     **CHANGES,
     "compare_profiles": ALL_CHANGES,
