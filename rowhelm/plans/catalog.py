@@ -17,9 +17,10 @@ from rowhelm.functions.scalars import hash_fraction, severity
 from rowhelm.operators import compare, daily, detect, frequency, inject, profile, ranking, rules, synth
 from rowhelm.operators.daily import daily_profile
 from rowhelm.plans import reports, runs
-from rowhelm.sources.dates import find_date_column, parse_dates_by_name
+from rowhelm.sources.csv import infer_tables
+from rowhelm.sources.dates import find_date_columns, parse_dates_by_name
 from rowhelm.sources.tables import read_table
-from rowhelm.types import DetectionThresholds, text_columns
+from rowhelm.types import DetectionThresholds, is_datetime, text_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,10 +135,21 @@ def date_parse_by_name(spark: SparkSession, sf: str) -> DataFrame:
 
 def date_column_detect(spark: SparkSession, sf: str) -> DataFrame:
     tables = {n: read_table(spark, sf, n) for n in ALL_TABLES} | {"orders_text": orders_as_text(spark, sf)}
-    rows = [(name, find_date_column(df)[0]) for name, df in tables.items()]
+    rows = [(name, found[0]) for name, found in find_date_columns(tables).items()]
     return spark.createDataFrame(rows, "dataset string, date_column string")
 
 
+def texts_of(df: DataFrame) -> DataFrame:
+    """The table as a CSV file would bring it, with texts in all columns."""
+    return df.select(*[F.date_format(f.name, "MM/dd/yyyy HH:mm").alias(f.name) if is_datetime(f.dataType) else F.col(f.name).cast("string").alias(f.name) for f in df.schema])
+
+
+def csv_types(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {n: texts_of(read_table(spark, sf, n)) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")}
+    rows = [(name, column, *found) for name, columns in infer_tables(tables).items() for column, found in columns.items()]
+    return spark.createDataFrame(rows, "dataset string, column string, type string, date_format string")
+
+
 def dataset_status(spark: SparkSession, sf: str) -> DataFrame:
     loaders = {n: (lambda n=n: read_table(spark, sf, n)) for n in ALL_TABLES}
     return runs.dataset_status(spark, loaders)[0].select("dataset", "status", "date_column", "days")
@@ -483,6 +495,7 @@ QUERIES: dict[str, Query] = {
     "date_parse_by_name": date_parse_by_name,
     "date_column_detect": date_column_detect,
     "dataset_status": dataset_status,
+    "csv_types": csv_types,
     "daily_null_date_dropped": daily_null_date_dropped,
     "table_profile": table_profile,
     "duplicate_rows": duplicate_rows,

@@ -391,7 +391,31 @@ SYNTH_ITEMS = f"""(SELECT printf('ITEM_%s_%d', order_id, line) AS item_id, order
             count(*) OVER (PARTITION BY category) AS category_size FROM {PRODUCTS} p) r
         ON i.category = r.category AND floor(i.product_fraction * r.category_size)::bigint = r.rank) u)"""
 
+
+
+def _csv_types(name: str) -> str:
+    """Types of the columns written as text, by patterns over all values."""
+    parts = []
+    for c, (kind, _) in CSV_SCHEMAS[name].items():
+        text = f"strftime({c}, '%m/%d/%Y %H:%M')" if kind == "d" else f"{c}::varchar"
+        all_are = "bool_and(regexp_matches(v, '{}'))".format
+        parts.append(
+            f"""SELECT '{name}' AS dataset, '{c}' AS "column", CASE WHEN {all_are('^[+-]?[0-9]+$')} THEN 'bigint'
+            WHEN {all_are('^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')} THEN 'double' ELSE 'string' END AS type,
+            CASE WHEN {all_are('^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$')} AND count(try_strptime(v, '%m/%d/%Y %H:%M')) = count(v) THEN 'M/d/yyyy H:mm' END AS date_format
+            FROM (SELECT {text} AS v FROM {name}) t"""
+        )
+    return union(parts)
+
+
+CSV_SCHEMAS = {n: SCHEMAS[n] for n in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents")} | {
+    "region": {"r_regionkey": ("n", 4), "r_name": ("t", None)},
+    "nation": {"n_nationkey": ("n", 4), "n_name": ("t", None), "n_regionkey": ("n", 4)},
+    "labels": {"doc_id": ("n", 8), "quality": ("n", 4), "toxic": ("n", 4)},
+}
+
 ORACLES: dict[str, str] = {
+    "csv_types": union([_csv_types(n) for n in CSV_SCHEMAS]),
     "date_parse_by_name": """SELECT o_orderdate::date AS day, o_orderpriority AS updated_by, count(*) AS cnt, true AS date_converted,
         false AS text_converted FROM orders GROUP BY ALL""",
     "date_column_detect": union([_date_column(n) for n in catalog.ALL_TABLES])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowhelm.functions.scalars import quoted
+from rowhelm.sources.dates import folded_masks, format_mask, format_of
 
 # Texts that stand for a missing value.
 MISSING_TEXTS = [
@@ -68,36 +69,51 @@ def _blank_missing(df: DataFrame) -> DataFrame:
     )
 
 
-def _inferred_type(filled: int, rows: int, integers: int, doubles: int, booleans: int) -> str:
+#: The types that a text can be of, from the most special one on: a bit each in the masks of inferred columns.
+_TYPES = {"bigint": INTEGER_TEXT, "double": DOUBLE_TEXT, "boolean": BOOLEAN_TEXT}
+
+
+def type_mask(column: Column) -> Column:
+    """Bit j is set if the text is of the j-th of the inferred types; a whole number is a double as well."""
+    bits = F.lit(0).cast("bigint")
+    for j, (name, pattern) in enumerate(_TYPES.items()):
+        fits = column.rlike(pattern) & column.try_cast(name).isNotNull()
+        bits = bits + F.when(fits, F.lit(1 << j).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return F.when(column.isNotNull(), bits)
+
+
+def _type_and_date_mask(column: Column) -> Column:
+    return type_mask(column).bitwiseOR(F.shiftleft(format_mask(column), len(_TYPES)))
+
+
+def _inferred_type(n: int, filled: int, mask: int | None) -> str:
     if filled == 0:
         return "double"
-    if integers == filled:
-        return "bigint"
-    if doubles == filled:
-        return "double"
-    return "boolean" if booleans == filled == rows else "string"
+    fits = [name for j, name in enumerate(_TYPES) if mask >> j & 1]
+    if fits and (fits[0] != "boolean" or filled == n):
+        return fits[0]
+    return "string"
+
+
+def infer_tables(tables: dict[str, DataFrame]) -> dict[str, dict[str, tuple[str, str | None]]]:
+    """Type and date format of every column of all-text tables, from one job over all of them.
+
+    A column is of a type, or of a format, if all its values are: each value has a mask of what it can be, and the
+    masks of a column are folded by ``bit_and``. The format is None unless the type is string. An empty column is
+    a double.
+    """
+    found = {name: dict.fromkeys(df.columns, ("double", None)) for name, df in tables.items()}
+    for row in folded_masks({name: (df, df.columns) for name, df in tables.items()}, _type_and_date_mask).collect():
+        kind = _inferred_type(row["n"], row["filled"], row["mask"])
+        date = format_of(row["mask"] >> len(_TYPES)) if kind == "string" else None
+        found[row["dataset"]][row["column"]] = (kind, date)
+    return found
 
 
 def infer_types(df: DataFrame) -> list[str]:
     """The type of each all-text column, from one aggregation over the whole table."""
-
-    def matches(column: Column, pattern: str, cast: str) -> Column:
-        return F.count(F.when(column.rlike(pattern), column.try_cast(cast)))
-
-    tests = [F.count(F.lit(1)).alias("n")]
-    for i, name in enumerate(df.columns):
-        column = F.col(quoted(name))
-        tests += [
-            F.count(column).alias(f"filled_{i}"),
-            matches(column, INTEGER_TEXT, "bigint").alias(f"integers_{i}"),
-            matches(column, DOUBLE_TEXT, "double").alias(f"doubles_{i}"),
-            matches(column, BOOLEAN_TEXT, "boolean").alias(f"booleans_{i}"),
-        ]
-    row = df.agg(*tests).first()
-    return [
-        _inferred_type(row[f"filled_{i}"], row["n"], row[f"integers_{i}"], row[f"doubles_{i}"], row[f"booleans_{i}"])
-        for i in range(len(df.columns))
-    ]
+    found = infer_tables({"": df})[""]
+    return [found[name][0] for name in df.columns]
 
 
 def read_csv(
