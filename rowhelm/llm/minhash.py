@@ -12,11 +12,11 @@ its one shingle. Documents without words have an empty set and no links. Two doc
 2. A first round takes ``HALVES`` of the tables. Each class is compared with the smallest of the bucket it shares
    most tables with; what is confirmed gives components. It is repeated with other hubs, so that groups of copies
    come together without their pairs.
-3. Then all tables count, but only for classes whose half keys also occur in another component. A bucket's largest
-   component is compared with the bucket's other members, in blocks of bounded size, by the signatures:
-   96 bytes, of which a linked pair shares at least ``ALIKE`` but for a chance of about 1 in a million. All such
-   pairs of different components are confirmed.
-4. Pairs are confirmed on full sets, made anew from the texts. A hub's partners are dealt over parts.
+3. Then all tables count, but only for classes whose half keys also occur in another component. Classes that buckets
+   join are a family. Its sets are compared with those of other components in blocks of bounded size; a block
+   gives one link for each set that is joined to another, not the pairs. The work grows with the square of what is
+   left of a family outside its largest component, in blocks; rows only with its size.
+4. All links are confirmed on full sets, made anew from the texts. A hub's partners are dealt over parts.
 
 Nulls and empties: null text is empty. A row with a null id is a document with no id; it can link
 others. Rows that share an id but not their text are separate documents. Repeated rows are one class.
@@ -42,13 +42,17 @@ SIZE = 4
 PERCENT = 80
 HALVES = 16
 ROWS = 3
-ALIKE = 55
 ROUNDS = 2
-#: Partners of a hub in one part, and members of a bucket in one block.
+#: Partners of a hub in one part; documents, and shingles, in one chunk of a family.
 PART = 512
-BLOCK = 2048
-#: Pairs of signatures that are compared together.
-PAIRS = 1 << 15
+BLOCK = 1024
+WEIGHT = 1 << 19
+#: Shingles of more sets than this are counted by a matrix product, so many at a time; pairs counted together.
+DENSE = 32
+STRIP = 2048
+PAIRS = 1 << 20
+#: What names a block.
+AT = ["family", "i", "j"]
 #: Bits of the filter that picks the texts of candidates, a fixed 16 MB at most.
 BITS = 1 << 27
 
@@ -84,15 +88,14 @@ def _signed(size: int):
                 full = np.flatnonzero(n)
                 least = minhashes(hashes, np.append(bounds[full], len(hashes)))
                 keys = half_keys(least).view(np.int64)
-                bytes_ = (least >> np.uint64(20)).astype(np.uint8)
-                raw, cls, sig, u, v = hashes.tobytes(), [None] * part.rows, [None] * part.rows, [None] * part.rows, [None] * part.rows
+                raw, cls, u, v = hashes.tobytes(), [None] * part.rows, [None] * part.rows, [None] * part.rows
                 for at, row in enumerate(full.tolist()):
                     cls[row] = hashlib.blake2b(raw[8 * bounds[row] : 8 * bounds[row + 1]], digest_size=16).digest()
-                    sig[row], u[row], v[row] = bytes_[at].tobytes(), keys[at, :HALVES], keys[at, HALVES:]
+                    u[row], v[row] = keys[at, :HALVES], keys[at, HALVES:]
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (u, v)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(part.first, part.rows) for c in (0, 1)), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), *lists, pa.array(sig, pa.binary())],
-                    ["doc_id", "text_key", "n", "class", "u", "v", "sig"],
+                    [*(batch.column(c).slice(part.first, part.rows) for c in (0, 1)), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), *lists],
+                    ["doc_id", "text_key", "n", "class", "u", "v"],
                 )
 
     return run
@@ -181,48 +184,84 @@ def hub_pairs(nodes: DataFrame, turn: int) -> DataFrame:
     return met.withColumn("at", F.row_number().over(best)).filter("at = 1").select("a", F.col("node").alias("b"))
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of the same block whose signatures are alike and whose components differ.
+def shared_shingles(hashes: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right``, both numbers of ordered sets.
 
-    Rows (key, chunk, part, asks, node, comp, sig) come in order; a block's rows are kept until the next begins.
+    Shingles of many sets are counted by a matrix product, the others pair by pair.
     """
-    left: list[pa.RecordBatch] = []
+    place = np.full((2, len(bounds) - 1), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    by = np.argsort(hashes, kind="stable")
+    same = hashes[by]
+    new = np.concatenate([[True], same[1:] != same[:-1]]) if len(same) else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    often = np.bincount(number)[number] if len(number) else np.zeros(0, int)
+    owner, often = owner[by], often
+    both = np.zeros((len(left), len(right)), np.float32)
+    dense = often > DENSE
+    _, column = np.unique(number[dense], return_inverse=True)
+    columns = int(column.max()) + 1 if len(column) else 0
+    for first in range(0, columns, STRIP):
+        strip = (column >= first) & (column < first + STRIP)
+        sides = []
+        for side, size in enumerate(both.shape):
+            at = place[side, owner[dense][strip]]
+            has = np.zeros((size, min(STRIP, columns - first)), np.float32)
+            has[at[at >= 0], column[strip][at >= 0] - first] = 1
+            sides.append(has)
+        both += sides[0] @ sides[1].T
+    few = (often > 1) & ~dense
+    own, number = owner[few], number[few]
+    asks = np.flatnonzero(place[0, own] >= 0)
+    has = np.flatnonzero(place[1, own] >= 0)
+    low, high = (np.searchsorted(number[has], number[asks], side=side) for side in ("left", "right"))
+    flat = both.ravel()
+    for rows in np.split(np.arange(len(asks)), np.flatnonzero(np.diff(np.cumsum(high - low) // PAIRS)) + 1):
+        n = (high - low)[rows]
+        b = has[np.repeat(low[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        cell = place[0, own[np.repeat(asks[rows], n)]] * len(right) + place[1, own[b]]
+        cell, times = np.unique(cell, return_counts=True)
+        flat[cell] += times
+    return both
+
+
+def _block_links(size: int, percent: int):
+    """Links within a block: of each set that links with others to the first set it is connected with."""
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        block = np.stack([table[c].to_numpy() for c in ("key", "chunk", "part")], axis=1)
-        asks, node, comp = (table[c].to_numpy() for c in ("asks", "node", "comp"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(table), -1)
-        new = np.ones(len(table), bool)
-        new[1:] = (block[1:] != block[:-1]).any(axis=1)
-        number = np.cumsum(new) - 1
-        has = np.flatnonzero(~asks)
-        low, high = np.searchsorted(number[has], number), np.searchsorted(number[has], number, side="right")
-        ask = np.flatnonzero(asks & (high > low))
-        out = [np.zeros((0, 2), np.int64)]
-        cut = np.cumsum(high[ask] - low[ask])
-        for rows in np.split(ask, np.flatnonzero(np.diff(cut // PAIRS)) + 1) if len(ask) else ():
-            n = high[rows] - low[rows]
-            a = np.repeat(rows, n)
-            b = has[np.repeat(low[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            apart = comp[a] != comp[b]
-            a, b = a[apart], b[apart]
-            near = (sig[a] == sig[b]).sum(axis=1) >= ALIKE
-            out.append(np.stack([np.minimum(node[a], node[b])[near], np.maximum(node[a], node[b])[near]], axis=1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([*left, batch])
-        last = [table[c][-1].as_py() for c in ("key", "chunk", "part")]
-        same = np.logical_and.reduce([table[c].to_numpy() == x for c, x in zip(("key", "chunk", "part"), last)])
-        first = int(same.argmax())
-        if first:
-            yield compared(table.slice(0, first))
-        left = table.slice(first).combine_chunks().to_batches()
-    if left:
-        yield compared(pa.Table.from_batches(left))
+        node, side = table["node"].to_numpy(), table["side"].to_numpy()
+        sets = [shingle_sets(part, size) for part in slices(table["text"].combine_chunks())]
+        hashes = np.concatenate([h for h, _ in sets])
+        sizes = np.concatenate([np.diff(b) for _, b in sets])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        both = shared_shingles(hashes, np.concatenate([[0], np.cumsum(sizes)]), left, right)
+        linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        label = np.arange(len(node))
+        while True:
+            before = label.copy()
+            label[right] = np.minimum(label[right], np.where(linked, label[left][:, None], len(node)).min(axis=0, initial=len(node)))
+            label[left] = np.minimum(label[left], np.where(linked, label[right][None, :], len(node)).min(axis=1, initial=len(node)))
+            if (label == before).all():
+                break
+        moved = label != np.arange(len(node))
+        return pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*left, batch])
+            key = np.stack([table[c].to_numpy() for c in AT], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield compared(table.slice(a, b - a))
+            left = table.slice(cuts[-1]).to_batches()
+        if left:
+            yield compared(pa.Table.from_batches(left))
+
+    return run
 
 
 def _shared(nodes: DataFrame, half: str) -> DataFrame:
@@ -232,37 +271,59 @@ def _shared(nodes: DataFrame, half: str) -> DataFrame:
     return keys.join(many.select("key"), "key").groupBy("node").agg(F.collect_list("key").alias(half))
 
 
-def table_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): nodes of (node, comp, u, v, sig) of different components that share a table and have like signatures."""
+def mixed_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node): the buckets of all tables that hold more than one component of (node, comp, u, v)."""
     live = _shared(nodes, "u").join(_shared(nodes, "v"), "node").join(nodes.select("node", "comp"), "node")
     keys = live.select("node", "comp", F.explode("u").alias("u"), "v").select("node", "comp", "u", F.explode("v").alias("v"))
     keys = keys.select(F.xxhash64("u", "v").alias("key"), "node", "comp")
     mixed = keys.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least != most")
-    members = stored(keys.join(mixed.select("key"), "key"), "buckets")
-    counts = members.groupBy("key", "comp").count()
-    sizes = counts.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("n")).select(
-        "key", F.col("top.comp").alias("top"), F.ceil(F.col("n") / block).cast("int").alias("chunks"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("top.count")) / block)).cast("int").alias("parts")
+    return keys.join(mixed.select("key"), "key").select("key", "node")
+
+
+def family_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+    """(a, b): what links the components of (node, comp, n, u, v) that share buckets, found on whole sets.
+
+    Nodes that buckets join are a family. Small families are put together into blocks. A large one is dealt into
+    chunks, those of its largest component apart, and every two chunks but two of that component are a block.
+    """
+    buckets = stored(mixed_buckets(nodes), "buckets")
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("a"))
+    stars = buckets.join(hubs, "key").filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    members = connected(stars).withColumnRenamed("root", "family").join(nodes.select("node", "comp", "n"), "node")
+    members = stored(members, "families")
+    parts = members.groupBy("family", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("weight"))
+    sizes = parts.groupBy("family").agg(F.max(F.struct("count", "comp", "weight")).alias("top"), F.sum("count").alias("count"), F.sum("weight").alias("weight"))
+    chunks = lambda count, w: F.greatest(F.lit(1), F.ceil(count / block), F.ceil(w / weight)).cast("int")
+    sizes = sizes.select(
+        "family", F.col("top.comp").alias("top"), ((F.col("count") <= block) & (F.col("weight") <= weight)).alias("small"),
+        chunks(F.col("top.count"), F.col("top.weight")).alias("inner"), chunks(F.col("count") - F.col("top.count"), F.col("weight") - F.col("top.weight")).alias("outer"),
+    )
+    placed = members.join(sizes, "family")
+    total = placed.filter("small").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).first()
+    packs = max(1, -(-total["count"] // block), -(-(total["weight"] or 0) // weight)) * 2
+    small = placed.filter("small").select(
+        F.lit(-1).cast("long").alias("family"), F.pmod(F.xxhash64("family"), F.lit(packs)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "node"
+    )
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    own = F.when(F.col("comp") == F.col("top"), deal("inner")).otherwise(F.col("inner") + deal("outer"))
+    others = F.sequence(F.when(F.col("own") < F.col("inner"), F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)
+    large = placed.filter("not small").withColumn("own", own).withColumn("other", F.explode(others)).select(
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node",
     )
-    placed = members.join(sizes, "key")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    has = placed.select("key", own("chunks").alias("chunk"), spread("parts").alias("part"), F.lit(False).alias("asks"), "node", "comp")
-    wants = placed.filter("comp != top").select("key", spread("chunks").alias("chunk"), own("parts").alias("part"), F.lit(True).alias("asks"), "node", "comp")
-    rows = has.union(wants).join(nodes.select("node", "sig"), "node")
-    at = ["key", "chunk", "part"]
-    rows = rows.repartition(*at).sortWithinPartitions(*at).select(*at, "asks", "node", "comp", "sig")
-    return stored(rows.mapInArrow(_alike, "a long, b long").distinct(), "pairs")
+    rows = small.union(large).join(texts, "node").repartition(*AT).sortWithinPartitions(*AT).select(*AT, "side", "node", "text")
+    return stored(rows.mapInArrow(_block_links(size, percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row. Runs its jobs when called."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = texts.mapInArrow(_signed(size), f"doc_id {kind}, text_key long, n long, class binary, u array<long>, v array<long>, sig binary")
+    signed = texts.mapInArrow(_signed(size), f"doc_id {kind}, text_key long, n long, class binary, u array<long>, v array<long>")
     signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     classes = signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("row").alias("node"))
     classes = stored(classes, "classes")
-    nodes = stored(signed.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "text_key", "u", "v", "sig"), "nodes")
+    nodes = stored(signed.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "text_key", "n", "u", "v"), "nodes")
     alone = nodes.withColumn("comp", F.col("node"))
     maybe = _shared(alone, "u").select("node").join(_shared(alone, "v").select("node"), "node")
     nodes = stored(nodes.join(maybe, "node"), "candidates")
@@ -272,7 +333,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         state = nodes.withColumn("comp", F.col("node")) if links is None else stored(labelled(nodes, links), "labelled")
         more = confirmed(hub_pairs(state, turn), held, size, percent)
         links = more if links is None else links.union(more)
-    links = links.union(confirmed(table_pairs(stored(labelled(nodes, links), "labelled")), held, size, percent))
+    links = links.union(family_links(stored(labelled(nodes, links), "labelled"), held, size, percent))
     roots = connected(links).withColumnRenamed("root", "comp")
     joined = classes.join(roots, "node", "left").select("class", "least", F.coalesce("comp", "node").alias("comp"))
     smallest = joined.groupBy("comp").agg(F.min("least").alias("smallest"))
