@@ -9,14 +9,13 @@
    text varies is a slot.
 3. Each page is read again beside its host's wrapper: the main text is the outermost article
    elements in page order if there are any, else the slots that aren't mostly links. Menus, forms, adverts,
-   comments and the like, known by tag or by a whole class token, are left out, and so is template text;
-   article elements in what is left out by class are taken if the page has no others.
+   comments and the like, known by tag or by a whole class token, are left out, and so is template text outside of
+   articles; article elements in what is left out by class are taken if the page has no others.
 
 Nulls and empties: null or empty html gives empty text; text without markup is one block. A page
 without a URL, or with one that has no host, has the host ''. Pages of a host with the same blocks
-of text count once, whatever their URLs. Hosts of under ``MIN_PAGES`` distinct contents have no
-template. Template text inside an article goes only if it is the lesser part of it: the pages are near
-copies otherwise. An empty table gives an empty result. Extra columns
+of text count once, whatever their URLs. What is template shows in two distinct contents at least, so a host of
+one has none. Text inside an article element stays, whatever its share. Pages may be nested to any depth. An empty table gives an empty result. Extra columns
 are ignored.
 """
 
@@ -26,7 +25,6 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -36,9 +34,8 @@ from pyspark.sql import functions as F
 
 from rowhelm.llm.storage import stored
 
-MIN_PAGES = 5
+MIN_PAGES = 2
 OUTSIDE_SHARE = 0.6
-INSIDE_SHARE = 0.9
 PARTS = 8
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,72 +133,142 @@ def parse(page: str) -> Node:
     return root
 
 
-def skeleton(node: Node) -> list:
+class Forest:
+    """Trees [label, children] in which equal subtrees are one object, so that they are compared by identity."""
+
+    def __init__(self):
+        self.known: dict = {}
+
+    def tree(self, label: str, children: list) -> list:
+        key = (label, *map(id, children))
+        return self.known.setdefault(key, [label, children])
+
+    def read(self, text: str) -> list:
+        made: list = []
+        for label, *children in json.loads(text):
+            made.append(self.tree(label, [made[k] for k in children]))
+        return made[-1]
+
+
+def written(tree: list) -> str:
+    """The tree as a flat list of its different subtrees, [label, numbers of the children before it...]."""
+    number, rows, todo = {}, [], [tree]
+    while todo:
+        at = todo[-1]
+        missing = [child for child in at[1] if id(child) not in number] if id(at) not in number else []
+        if missing:
+            todo += reversed(missing)
+            continue
+        todo.pop()
+        if id(at) not in number:
+            number[id(at)] = len(rows)
+            rows.append([at[0], *(number[id(child)] for child in at[1])])
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def skeleton(root: Node, forest: Forest) -> list:
     """[label, children]: the block elements below; a run of alike siblings is one child."""
-    children = []
-    for item in node.items:
-        if isinstance(item, Node):
-            own = skeleton(item)
-            if not children or children[-1] != own:
-                children.append(own)
-            item.skeleton = len(children) - 1
-    return [f"{node.tag}.{re.sub(r'[0-9]+', '0', node.names)}" if node.names else node.tag, children]
+    todo = [(root, [x for x in root.items if isinstance(x, Node)][::-1], [])]
+    while True:
+        node, left, children = todo[-1]
+        if left:
+            child = left.pop()
+            todo.append((child, [x for x in child.items if isinstance(x, Node)][::-1], []))
+            continue
+        todo.pop()
+        made = forest.tree(f"{node.tag}.{re.sub(r'[0-9]+', '0', node.names)}" if node.names else node.tag, children)
+        if not todo:
+            return made
+        siblings = todo[-1][2]
+        if not siblings or siblings[-1] is not made:
+            siblings.append(made)
+        node.skeleton = len(siblings) - 1
 
 
 def match(a: list, b: list, known: dict) -> tuple[int, list]:
-    """Simple tree matching: (matched nodes, pairs of child positions) of two trees."""
-    key = (id(a), id(b))
-    if key in known:
-        return known[key]
-    if a[0] != b[0]:
-        known[key] = (0, [])
-        return known[key]
-    left, right = a[1], b[1]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(x, y, known)[0])
-    i, j, pairs = len(left), len(right), []
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    known[key] = (1 + best[-1][-1], pairs[::-1])
-    return known[key]
-
-
-def fold(wrapper: list, tree: list) -> list:
+    """Simple tree matching: (matched nodes, pairs of child positions) of two trees. Pairs of subtrees wait on a stack."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        key = (id(x), id(y))
+        if key in known:
+            todo.pop()
+            continue
+        if x[0] != y[0]:
+            known[key] = (0, [])
+            continue
+        left, right = x[1], y[1]
+        missing = [(p, q) for p in left for q in right if p[0] == q[0] and (id(p), id(q)) not in known]
+        if missing:
+            todo += missing
+            continue
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, p in enumerate(left):
+            for j, q in enumerate(right):
+                both = known[id(p), id(q)][0] if p[0] == q[0] else 0
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + both)
+        i, j, pairs = len(left), len(right), []
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        known[key] = (1 + best[-1][-1], pairs[::-1])
+    return known[id(a), id(b)]
+
+
+def fold(wrapper: list, tree: list, forest: Forest | None = None) -> list:
     """The wrapper with ``tree`` added: aligned children are folded, others come where they stand."""
-    if wrapper == tree:
+    if wrapper is tree or wrapper[0] != tree[0]:
         return wrapper
     known: dict = {}
+    match(wrapper, tree, known)
+    make = (forest or Forest()).tree
 
-    def merge(a, b):
-        _, pairs = match(a, b, known)
+    def steps(a, b):
+        """What the children of the folded node are, last one first: whole subtrees, or pairs to be folded."""
         out, i, j = [], 0, 0
-        for x, y in [*pairs, (len(a[1]), len(b[1]))]:
-            out += a[1][i:x] + b[1][j:y]
+        for x, y in [*match(a, b, known)[1], (len(a[1]), len(b[1]))]:
+            out += [(child, child) for child in a[1][i:x] + b[1][j:y]]
             if x < len(a[1]) and y < len(b[1]):
-                out.append(merge(a[1][x], b[1][y]))
+                out.append((a[1][x], b[1][y]))
             i, j = x + 1, y + 1
-        return [a[0], out]
-
-    return merge(wrapper, tree) if wrapper[0] == tree[0] else wrapper
+        return out[::-1]
+
+    todo = [(wrapper[0], steps(wrapper, tree), [])]
+    while True:
+        label, left, children = todo[-1]
+        if left:
+            a, b = left.pop()
+            if a is b:
+                children.append(a)
+            else:
+                todo.append((a[0], steps(a, b), []))
+            continue
+        todo.pop()
+        made = make(label, children)
+        if not todo:
+            return made
+        todo[-1][2].append(made)
 
 
-def places(wrapper: list, tree: list) -> list:
+def places(wrapper: list | None, tree: list) -> list:
     """For each node of ``tree``, nested alike, its place in the wrapper ('' at the root) or None."""
     known: dict = {}
-
-    def walk(a, b, at):
-        inner = dict((y, x) for x, y in match(a, b, known)[1]) if a is not None else {}
-        return [at, [walk(a[1][inner[k]], child, f"{at}.{inner[k]}") if k in inner else walk(None, child, None) for k, child in enumerate(b[1])]]
-
-    return walk(wrapper if wrapper and wrapper[0] == tree[0] else None, tree, "" if wrapper and wrapper[0] == tree[0] else None)
+    fits = bool(wrapper) and wrapper[0] == tree[0]
+    root = ["" if fits else None, []]
+    todo = [(wrapper if fits else None, tree, root)]
+    while todo:
+        a, b, (at, inside) = todo.pop()
+        inner = {y: x for x, y in match(a, b, known)[1]} if a is not None else {}
+        for k, child in enumerate(b[1]):
+            own = [f"{at}.{inner[k]}" if k in inner else None, []]
+            inside.append(own)
+            todo.append((a[1][inner[k]] if k in inner else None, child, own))
+    return root
 
 
 def clean(items: list) -> str:
@@ -210,34 +277,41 @@ def clean(items: list) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-def blocks(node: Node, place: list | None) -> Iterator[tuple[str, str | None, int, Node]]:
+def blocks(root: Node, place: list | None) -> Iterator[tuple[str, str | None, int, Node]]:
     """(text, place, characters in links, node) of the blocks below, in page order; what is left out by tag or class isn't entered."""
+    todo: list = [(root, place, iter(root.items))]
     held: list = []
-
-    def done():
-        text = clean(held)
-        links = sum(len(x[0]) for x in held if isinstance(x, tuple))
-        held.clear()
-        return text, links
-
-    for item in node.items:
-        if isinstance(item, Node):
-            if held:
-                text, links = done()
-                if text:
-                    yield text, place and place[0], links, node
-            if not left_out(item):
-                yield from blocks(item, place[1][item.skeleton] if place else None)
-        else:
+    while todo:
+        node, at, items = todo[-1]
+        inner = None
+        for item in items:
+            if isinstance(item, Node):
+                inner = item
+                break
             held.append(item)
-    if held:
-        text, links = done()
-        if text:
-            yield text, place and place[0], links, node
+        if held:
+            text, links = clean(held), sum(len(x[0]) for x in held if isinstance(x, tuple))
+            held.clear()
+            if text:
+                yield text, at and at[0], links, node
+        if inner is None:
+            todo.pop()
+        elif not left_out(inner):
+            todo.append((inner, at[1][inner.skeleton] if at else None, iter(inner.items)))
+
+
+_marked: dict[str, bool] = {}
 
 
-@lru_cache(1 << 14)
 def marked(names: str) -> bool:
+    if names not in _marked:
+        if len(_marked) > 1 << 14:
+            _marked.clear()
+        _marked[names] = _is_marked(names)
+    return _marked[names]
+
+
+def _is_marked(names: str) -> bool:
     for token in names.split():
         parts = re.split("[_-]", token)
         marks = [bool(MARK.fullmatch(x)) for x in parts]
@@ -250,18 +324,17 @@ def left_out(node: Node) -> bool:
     return node.tag in LEFT_OUT or bool(node.names and node.tag not in ("body", "html", "article", "main") and marked(node.names))
 
 
-def mains(node: Node, place: list | None, within: bool = False) -> list[tuple[Node, list | None]]:
+def mains(root: Node, place: list | None, within: bool = False) -> list[tuple[Node, list | None]]:
     """Outermost elements that say they hold the article, in page order; with ``within`` also article and main elements inside what is left out by class."""
-    out = []
-    for item in node.items:
-        if isinstance(item, Node) and (item.tag not in LEFT_OUT if within else not left_out(item)):
-            own = place[1][item.skeleton] if place else None
-            if item.tag in ("article", "main") or item.names and MAINS.search(item.names) and not left_out(item):
-                inner = mains(item, own, within) if item.tag != "article" else []
-                articles = [x for x in inner if x[0].tag == "article"]
-                out += articles if item.tag == "main" and articles else [(item, own)]
-            else:
-                out += mains(item, own, within)
+    out, todo = [], [(root, place)]
+    while todo:
+        node, at = todo.pop()
+        if node is not root and (node.tag in ("article", "main") or node.names and MAINS.search(node.names) and not left_out(node)):
+            out.append((node, at))
+            continue
+        for item in reversed(node.items):
+            if isinstance(item, Node) and (item.tag not in LEFT_OUT if within else not left_out(item)):
+                todo.append((item, at[1][item.skeleton] if at else None))
     return out
 
 
@@ -274,19 +347,15 @@ def extract(page: str | None, wrapper: list | None, constant: dict) -> str:
     if not page:
         return ""
     root = parse(page)
-    tree = skeleton(root)
-    place = places(wrapper, tree) if wrapper else None
+    place = places(wrapper, skeleton(root, Forest()))
     any_found = False
     # comments and teasers may be article elements too, so those inside what is left out count only if there is no other
     for within in (False, True):
         found = mains(root, place, within)
         # a site header is outside of articles; one inside holds the title
-        whole = [(t, at) for x in found for t, at, _, _ in blocks(*x)]
+        whole = [t for x in found for t, *_ in blocks(*x)]
         if whole:
-            own = [t for t, at in whole if not at or constant.get((at, digest(t)), 0) < INSIDE_SHARE]
-            if 2 * sum(map(len, own)) < sum(len(t) for t, _ in whole):
-                own = [t for t, _ in whole]  # near copies of one article
-            return " ".join(own)
+            return " ".join(whole)
         any_found = any_found or bool(found)
     if any_found:
         return ""
@@ -306,12 +375,12 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, nodes, digests, contents = [], [], [], []
         for page in batch.column(1).to_pylist():
             root = parse(page or "")
-            tree = skeleton(root)
+            tree = skeleton(root, Forest())
             numbers = _numbered(tree)
             found = [(n, digest(t)) for t, n, _, _ in blocks(root, numbers)]
             own = dict.fromkeys(found)
             contents.append(xxhash.xxh3_128_digest(",".join(str(d) for _, d in found)))
-            trees.append(json.dumps(tree, separators=(",", ":")))
+            trees.append(written(tree))
             nodes.append([n for n, _ in own])
             digests.append([d for _, d in own])
         yield pa.RecordBatch.from_arrays(
@@ -322,29 +391,32 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _numbered(tree: list) -> list:
     """The tree with a number in page order for each label."""
-    count = [0]
-
-    def walk(node):
-        count[0] += 1
-        return [count[0], [walk(x) for x in node[1]]]
-
-    return walk(tree)
+    root: list = [0, []]
+    todo, count = [(tree, root)], 0
+    while todo:
+        node, own = todo.pop()
+        count += 1
+        own[0] = count
+        own[1] += [[0, []] for _ in node[1]]
+        todo += list(zip(node[1], own[1]))[::-1]
+    return root
 
 
 def _fold_rows(columns: list[str]) -> callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, wrapper = None, None
+        key, wrapper, forest = None, None, Forest()
         for rows in frames:
             for *own, tree in rows[[*columns, "tree"]].itertuples(index=False):
                 own = tuple(own)
                 if own != key:
                     if key is not None:
-                        yield pd.DataFrame([[*key, json.dumps(wrapper, separators=(",", ":"))]], columns=[*columns, "tree"])
-                    key, wrapper = own, json.loads(tree)
+                        yield pd.DataFrame([[*key, written(wrapper)]], columns=[*columns, "tree"])
+                    key, forest = own, Forest()
+                    wrapper = forest.read(tree)
                 else:
-                    wrapper = fold(wrapper, json.loads(tree))
+                    wrapper = fold(wrapper, forest.read(tree), forest)
         if key is not None:
-            yield pd.DataFrame([[*key, json.dumps(wrapper, separators=(",", ":"))]], columns=[*columns, "tree"])
+            yield pd.DataFrame([[*key, written(wrapper)]], columns=[*columns, "tree"])
 
     return run
 
@@ -359,15 +431,13 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key not in known:
                 if len(known) > 10_000:
                     known.clear()
-                tree = json.loads(tree)
-                flat: dict = {}
-
-                def walk(number, place):
+                forest = Forest()
+                tree = forest.read(tree)
+                flat, todo = {}, [(_numbered(tree), places(forest.read(wrapper), tree))]
+                while todo:
+                    number, place = todo.pop()
                     flat[number[0]] = place[0]
-                    for x, y in zip(number[1], place[1]):
-                        walk(x, y)
-
-                walk(_numbered(tree), places(json.loads(wrapper), tree))
+                    todo += zip(number[1], place[1])
                 known[key] = flat
             for node, value in zip(nodes, own):
                 if known[key].get(node) is not None:
@@ -385,7 +455,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if host not in known:
                 if len(known) > 10_000:
                     known.clear()
-                known[host] = (json.loads(wrapper) if wrapper else None, {(x["place"], x["digest"]): x["share"] for x in same or ()})
+                known[host] = (Forest().read(wrapper) if wrapper else None, {(x["place"], x["digest"]): x["share"] for x in same or ()})
             texts.append(extract(page, *known[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -409,7 +479,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         .filter(F.col("n") >= MIN_PAGES)
         .join(counts, "host")
         .withColumn("share", F.col("n") / F.col("pages"))
-        .filter(F.col("share") >= min(OUTSIDE_SHARE, INSIDE_SHARE))
+        .filter(F.col("share") >= OUTSIDE_SHARE)
     )
     same = shares.groupBy("host").agg(F.collect_list(F.struct("place", "digest", "share")).alias("constant"))
     return found.join(same, "host", "left").select("host", "wrapper", "constant")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -233,7 +234,7 @@ def test_html_main_text(spark):
     rows += [(20, None, None), (21, "nonsense", ""), (22, "http://c.org", "just text"), (23, "http://c.org/x", "<p>" * 3000 + "deep")]
     pages = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string")
     out = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
-    assert all(out[i] == f"T&t {i} One bold {i} Two x é {i}" for i in range(6))
+    assert all(out[i] == f"T&t {i} One bold {i} Two x é {i} Stays the same" for i in range(6))  # the contract drops nothing of an article
     assert all(out[10 + i] == f"Words of page {i} that are its own. And {i} more." for i in range(6))
     assert (out[20], out[21], out[22], out[23]) == ("", "", "just text", "deep")
     assert html_text.main_texts(pages.limit(0)).count() == 0
@@ -263,6 +264,71 @@ def test_html_article_in_several_elements():
     assert not any(html_text.extract(f"<div class='x {n}'>Text</div>", None, {}) for n in left)
 
 
+def test_html_main_is_whole_and_nesting_has_no_limit(spark):
+    assert html_text.extract("<main><h1>T</h1><p>body</p><article>teaser</article><nav>n</nav></main>", None, {}) == "T body teaser"
+    deep = "<div>" * 5000 + "<p>Deep %d" + "</div>" * 5000
+    rows = [(i, f"http://deep.org/{i}", deep % i) for i in range(3)] + [(9, "http://deep.org/9", "<div>" * 4999 + "<article>Other</article>")]
+    out = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {0: "Deep 0", 1: "Deep 1", 2: "Deep 2", 9: "Other"}
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 6])
+def test_html_template_of_small_hosts(spark, pages):
+    page = "<div class=top>Welcome to the site</div><div><p>Own words of page %d</div><div>All rights reserved</div>"
+    rows = [(i, f"http://small.org/{i}", page % i) for i in range(pages)]
+    out = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    if pages == 1:  # nothing tells its template
+        assert out == {0: "Welcome to the site Own words of page 0 All rights reserved"}
+    else:
+        assert out == {i: f"Own words of page {i}" for i in range(pages)}  # without the wrapper all three blocks would stay
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.just([]), lambda kids: st.lists(st.tuples(st.sampled_from("abc"), kids), max_size=3), max_leaves=9), st.recursive(st.just([]), lambda kids: st.lists(st.tuples(st.sampled_from("abc"), kids), max_size=3), max_leaves=9))
+def test_tree_matching_equals_brute_force(a, b):
+    def tree(kids, label="r"):
+        return [label, [tree(inner, own) for own, inner in kids]]
+
+    def best(x, y):  # the largest order-keeping matching of two trees with equal root labels
+        if x[0] != y[0]:
+            return 0
+
+        def pairs(p, q):
+            if not p or not q:
+                return 0
+            return max(pairs(p[1:], q), pairs(p, q[1:]), best(p[0], q[0]) + pairs(p[1:], q[1:]))
+
+        return 1 + pairs(x[1], y[1])
+
+    x, y = tree(a), tree(b)
+    assert html_text.match(x, y, {})[0] == best(x, y)
+    forest = html_text.Forest()
+    assert forest.read(html_text.written(x)) == x
+    folded = html_text.fold(forest.read(html_text.written(x)), forest.read(html_text.written(y)), forest)
+    assert html_text.match(folded, x, {})[0] == best(x, x) and html_text.match(folded, y, {})[0] == best(y, y)  # both are in it
+
+
+def test_language_paths_and_letters():
+    names = [f"l{k:03d}" for k in range(200)]
+    model = language_id.Model(names, np.ones((200, language_id.BUCKETS)), np.ones((200, 13)))
+    scores = np.full((4, 200), -50.0, np.float32)
+    scores[:2, 150], scores[2:, 199] = 0, 0
+    assert model.paths(scores, np.array([0, 4]), 1.0).tolist() == [150, 150, 199, 199]
+    assert language_id.Model.of(*model.parts()).names == names
+    for text, letters in [("१२३", 0), ("।", 0), ("・", 0), ("ʹ҃", 1), ("नमस्ते", 4), ("é1", 1), ("日本", 2), ("😀", 0)]:
+        assert (language_id.letter_bits(np.frombuffer(text.encode(), np.uint8)) > 0).sum() == letters, text
+
+
+def test_quality_labels_may_be_long(spark):
+    rows = [(i, " ".join(["good words in a row"] * (1 + i % 3)) if i % 2 else "%% $$ ##", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality long")
+    model = quality_knn.learn(docs, labels, F.col("doc_id") >= 10)
+    scores = {r.doc_id: r.score for r in quality_knn.scored(docs, model).collect()}
+    assert all((scores[i] >= 0.5) == bool(q) for i, _, q in rows)
+    assert quality_knn.scored(docs.limit(0), model).count() == 0
+
+
 def test_tree_matching_and_fold():
     a = ["x", [["p", []], ["q", [["r", []]]], ["p", []]]]
     b = ["x", [["q", [["r", []], ["s", []]]], ["t", []], ["p", []]]]
