@@ -71,13 +71,12 @@ def letter_bits(data: np.ndarray) -> np.ndarray:
     out[((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)] = 1
     at, points = code_points(data)
     if len(at):
+        points, back = np.unique(points, return_inverse=True)
+        # ranges tell the script; whether a code point is a letter is its category's to say
+        letters = np.array([chr(p).isalpha() for p in points.tolist()])
         k = np.searchsorted(LOWS, points, side="right") - 1
         known = (k >= 0) & (points < HIGHS[k])
-        bits = np.where(known, BITS[k], 0)
-        rare = np.flatnonzero(~known)
-        if len(rare):
-            letters = {int(p): chr(p).isalpha() for p in np.unique(points[rare])}
-            bits[rare] = [OTHER if letters[int(p)] else 0 for p in points[rare]]
+        bits = np.where(letters, np.where(known, BITS[k], OTHER), 0)[back]
         out[at] = bits
     return out
 
@@ -106,6 +105,16 @@ class Model:
             self.logs -= self.logs.mean(axis=0)
         self.uses = scripts > 0.001 * scripts.sum(axis=1, keepdims=True)
 
+    def parts(self) -> tuple:
+        """What goes into a broadcast: plain values, which executors can read without this package."""
+        return self.names, self.logs, self.uses
+
+    @classmethod
+    def of(cls, names: list[str], logs: np.ndarray, uses: np.ndarray) -> Model:
+        model = cls.__new__(cls)
+        model.names, model.logs, model.uses = names, logs, uses
+        return model
+
     def word_scores(self, part) -> tuple[np.ndarray, np.ndarray]:
         """(words x languages scores, letters of each word)."""
         n, data = len(part.starts), part.data
@@ -135,11 +144,12 @@ class Model:
         length = np.diff(bounds)
         order = np.argsort(-length, kind="stable")
         first, length = bounds[:-1][order], length[order]
-        path = np.zeros(len(scores), np.int8)
+        kind = np.min_scalar_type(max(1, scores.shape[1]))
+        path = np.zeros(len(scores), kind)
         if not len(length) or length[0] == 0:
             return path
         stays = np.zeros(scores.shape, bool)
-        best_from = np.zeros(len(scores), np.int8)
+        best_from = np.zeros(len(scores), kind)
         active = np.searchsorted(-length, -np.arange(length[0]), side="left")
         value = scores[first[: active[0]]].astype(np.float64)
         for t in range(1, length[0]):
@@ -152,7 +162,7 @@ class Model:
             best_from[at] = lead
             own = np.maximum(own, jump) + scores[at]
             value[:n] = own - own.max(axis=1, keepdims=True)
-        state = value.argmax(axis=1).astype(np.int8)  # each text's value is the one at its last word
+        state = value.argmax(axis=1).astype(kind)  # each text's value is the one at its last word
         for t in range(length[0] - 1, -1, -1):
             n = active[t]
             at = first[:n] + t
@@ -173,7 +183,7 @@ def _labelled(column: pa.Array, model: Model, penalty: float) -> tuple[np.ndarra
         n += len(own)
     bounds = np.concatenate(bounds)
     if not n:
-        return np.zeros(0, np.int8), np.zeros(0, np.int64), bounds
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), bounds
     return model.paths(np.concatenate(scores), bounds, penalty), np.concatenate(letters), bounds
 
 
@@ -222,11 +232,12 @@ def learn(docs: DataFrame, learnable: Column, max_per_language: int = MAX_PER_LA
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and, if wanted, spans (first word, number of words, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model.of(*shared.value)
         for batch in batches:
-            m, rows = shared.value, batch.num_rows
+            rows = batch.num_rows
             preds, shares, found = [UND] * rows, np.zeros(rows), [[] for _ in range(rows)]
             if m.names:
                 path, letters, bounds = _labelled(batch.column(1), m, penalty)

@@ -89,6 +89,16 @@ class Model:
         self.directions = (vectors[:, ::-1][:, :rank]).astype(np.float32) * self.weights[:, None]
         self.vectors = unit((x / self.weights) @ self.directions)
 
+    def parts(self) -> tuple:
+        """What goes into a broadcast: plain values, which executors can read without this package."""
+        return self.k, self.labels, self.directions, self.vectors
+
+    @classmethod
+    def of(cls, k: int, labels: np.ndarray, directions: np.ndarray, vectors: np.ndarray) -> Model:
+        model = cls.__new__(cls)
+        model.k, model.labels, model.directions, model.vectors = k, labels, directions, vectors
+        return model
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(x), NEUTRAL)
@@ -107,7 +117,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, max_labelled: int = MAX_LABELLED, rank: int = RANK, k: int = K) -> Model:
     """From at most ``max_labelled`` rows of labels (doc_id, quality) that are ``learnable``."""
-    known = labels.select("doc_id", "quality").dropna().filter(learnable)
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().filter(learnable)
     sample = F.broadcast(bounded_sample(known, "doc_id", max_labelled))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "doc_id", "quality")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -119,11 +129,12 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, max_labelled: i
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches):
+        known = Model.of(*shared.value)
         for batch in batches:
-            scores = [shared.value.score(terms(part)) for part in slices(batch.column(1))]
+            scores = [known.score(terms(part)) for part in slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
