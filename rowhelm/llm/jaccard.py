@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowhelm.llm import sketch
+from rowhelm.llm.columns import sealed
 from rowhelm.llm.components import connected
 from rowhelm.llm.storage import stored
 from rowhelm.llm.words import Slice, mix, slices, span_sums
@@ -367,15 +368,20 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents, with their columns, less all but the one with the smallest id of each component.
 
-    Ids that are null come last; of rows that repeat id and text one stays; documents without words stay.
+    Ids that are null come last; of rows that repeat id and text the one with the smallest JSON text of all its
+    columns stays; documents without words stay.
     """
-    found = stored(components(docs, **options), "components")
+    carried, opened = sealed(docs, "doc_id", "text")
+    found = stored(components(carried, **options), "components")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     chosen = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
-    chosen = stored(chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), "n").distinct(), "chosen")
+    chosen = stored(chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_chosen"), "n").distinct(), "chosen")
     repeated = found.filter("n_shingles > 0").groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(chosen.withColumnRenamed("_key", "_chosen"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_chosen")), "left_semi")
+    keyed = carried.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_chosen")), "left_semi")
     if repeated:
-        kept = kept.filter("length(trim(coalesce(text, ''))) > 0").dropDuplicates(["doc_id", "_key"]).union(kept.filter("length(trim(coalesce(text, ''))) = 0"))
-    return kept.drop("_key")
+        words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        row = F.struct(*carried.columns)
+        first = kept.filter(words).groupBy("doc_id", "_key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        kept = first.union(kept.filter(~words).drop("_key"))
+    return opened(kept)

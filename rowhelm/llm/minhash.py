@@ -185,7 +185,7 @@ def hub_pairs(nodes: DataFrame, turn: int) -> DataFrame:
 
 
 def shared_shingles(hashes: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets ``left`` with the sets ``right``, both numbers of ordered sets.
+    """Sizes of the intersections of the sets ``left`` with other sets ``right``, both numbers of ordered sets.
 
     Shingles of many sets are counted by a matrix product, the others pair by pair.
     """

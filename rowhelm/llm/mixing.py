@@ -174,7 +174,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], si
     The whole part of the rate gives sure copies, a hash of the id and copy decides on the rest.
     """
     own = {c: f"_kept_{k}" for k, c in enumerate(docs.columns)}
-    carried = docs.select("*", *(F.col(c).alias(n) for c, n in own.items()))
+    carried = docs.select("doc_id", "text", *(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in own.items()))
     rated = rates(carried, labelled, targets, size, list(own.values()), keep_all)
     chance = F.pmod(F.xxhash64(own["doc_id"], F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")

@@ -174,6 +174,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     """The documents, with their columns, that are kept: judged in the same pass that carries them."""
     rules = learn_rules(docs, labels, max_labelled, precision)
     own = {c: f"_kept_{k}" for k, c in enumerate(docs.columns)}  # no clash with the counts' names
-    carried = docs.select(F.col("text"), *(F.col(c).alias(n) for c, n in own.items()))
+    carried = docs.select(F.col("text"), *(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in own.items()))
     judged = with_ratios(statistics(carried, list(own.values())))
     return judged.filter(~base_failed() & (rejecting_rule(rules) == 0)).select(*(F.col(n).alias(c) for c, n in own.items()))
