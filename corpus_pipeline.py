@@ -12,7 +12,8 @@ documents.
    large as the largest share over its target asks for.
 5. ``best_fit_packing`` packs what there is into sequences; repeats of a document don't share one.
 
-An empty table passes through all stages. Extra columns of the documents pass through all but the last.
+An empty table passes through all stages. Extra columns of the documents, whatever their names, pass
+through all but the last.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowhelm.llm import jaccard, mixing, packing, quality_rules, substring
+from rowhelm.llm.columns import sealed
 from rowhelm.llm.queries import MIXTURE, TARGETS, labelled_domains
 from rowhelm.llm.storage import stored
 from rowhelm.sources.tables import read_table
@@ -35,9 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring.remove_repeats(docs, untouched=True).filter("n_removed = 0 or n_removed < n_words")
-    text = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*(text.get(c, F.col(c)).alias(c) for c in docs.columns))
+    carried, opened = sealed(docs, "doc_id", "text", "n_chars")
+    chars = carried.schema["n_chars"].dataType
+    cut = substring.remove_repeats(carried, untouched=True).filter("n_removed = 0 or n_removed < n_words")
+    return opened(cut, text=F.col("kept_text"), n_chars=F.length("kept_text").cast(chars))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
