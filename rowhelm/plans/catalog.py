@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowhelm.functions.scalars import hash_fraction, severity
-from rowhelm.operators import compare, daily, detect, frequency, inject, profile, ranking, rules, synth
+from rowhelm.operators import compare, daily, detect, frequency, history, inject, profile, ranking, rules, synth
 from rowhelm.operators.daily import daily_profile
 from rowhelm.plans import reports, runs
 from rowhelm.sources.csv import infer_tables
@@ -287,6 +287,38 @@ def daily_profile_records(spark: SparkSession, sf: str) -> DataFrame:
     return records.join(kinds, "day")
 
 
+def _state_in_loads(spark: SparkSession, sf: str, table: str, date_column: str, key: str) -> DataFrame:
+    """The daily state of a table that comes in three loads, rows of one day in any of them."""
+    rows = read_table(spark, sf, table)
+    loads = [rows.filter(F.col(key) % 3 == k) for k in range(3)]
+    return history.merge_states(*[history.daily_state(load, date_column, table) for load in loads])
+
+
+def merged_daily_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    days = history.profile_of_state(_state_in_loads(spark, sf, "lineitem", "l_shipdate", "l_orderkey")).columns
+    days = days.filter(F.col("mean").isNotNull()).select("day", "day_idx", "column", "null_count", "mean", "min", "max", "std")
+    return _rounded(days, "mean", "std", digits=9)
+
+
+def merged_detect_series(spark: SparkSession, sf: str) -> DataFrame:
+    """The series detectors over the state of two loads, the second one the late rows of all days."""
+    events = faulty_events(spark, sf)
+    loads = [events.filter(F.col("event_id") % 4 != 0), events.filter(F.col("event_id") % 4 == 0)]
+    state = history.merge_states(*[history.daily_state(load, "ts", "events") for load in loads])
+    return _anomalies(detect.detect_series(history.profile_of_state(state).columns))
+
+
+def approximate_distincts(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct values from the sketches of the days, and whether they are within three standard errors of the exact number."""
+    found = history.approximate_statistics(_state_in_loads(spark, sf, "orders", "o_orderdate", "o_orderkey"))
+    orders = read_table(spark, sf, "orders")
+    names = [c for c in orders.columns if c != "o_orderdate"]
+    exact = frequency.distinct_stats(frequency.value_frequency(orders, names), names)
+    bound = 3 * 1.04 / 2 ** (history.HLL_LOG2 / 2)
+    near = F.abs(found["unique_count"] - exact["unique_count"]) <= F.greatest(F.lit(1.0), exact["unique_count"] * bound)
+    return found.join(exact, "column").select("column", "filled", exact["unique_count"], near.alias("within_bound"))
+
+
 # ---- history -------------------------------------------------------------------------
 
 
@@ -514,6 +546,9 @@ QUERIES: dict[str, Query] = {
     "daily_numeric": daily_numeric,
     "daily_category_share": daily_category_share,
     "daily_profile": daily_profile_records,
+    "merged_daily_numeric": merged_daily_numeric,
+    "merged_detect_series": merged_detect_series,
+    "approximate_distincts": approximate_distincts,
     "zscore_expanding": zscore_expanding,
     "severity_bucket": severity_bucket,
     "detect_volume": detect_volume,

@@ -460,6 +460,9 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM c WHERE c.day = v.day AND c.mean IS NOT NULL) AS numeric_columns, k.event_types, k.top_share
         FROM ({volume(FAULTY, 'ts')}) v JOIN c u ON u.day = v.day AND u."column" = 'user_id' JOIN c x ON x.day = v.day AND x."column" = 'value'
         JOIN (SELECT day, count(*) AS event_types, round(max(share), 6) AS top_share FROM ({shares(FAULTY, 'ts', ['event_type'])}) s GROUP BY day) k ON k.day = v.day""",
+    "merged_daily_numeric": f'SELECT day, day_idx, "column", null_count, round(mean, 9) AS mean, "min", "max", round(std, 9) AS std FROM ({daily_columns("lineitem", "l_shipdate", LINES)}) d WHERE mean IS NOT NULL',
+    "merged_detect_series": anomalies(union([volume_findings(FAULTY, "ts"), null_findings(FAULTY, "ts", EVENTS), negative_findings(FAULTY, "ts", EVENTS), mean_findings(FAULTY, "ts", EVENTS)])),
+    "approximate_distincts": union([f"""SELECT '{c}' AS "column", count({c}) AS filled, count(DISTINCT {c}) AS unique_count, true AS within_bound FROM orders""" for c in ORDERS if c != "o_orderdate"]),
     "zscore_expanding": f"SELECT day, row_count, n AS hist_count, round(mu, 6) AS hist_mean, round(sd, 6) AS hist_std, round(z, 6) AS z FROM ({scored(volume('orders', 'o_orderdate'), 'row_count')}) s",
     "severity_bucket": f"SELECT {SEVERITY} AS severity, count(*) AS days FROM ({scored(volume('lineitem', 'l_shipdate'), 'row_count')}) s GROUP BY 1",
     "detect_volume": anomalies(volume_findings("lineitem", "l_shipdate")),
