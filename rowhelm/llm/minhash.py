@@ -10,8 +10,8 @@ its one shingle. Documents without words have an empty set and no links. Two doc
    0.8 a pair misses all tables with a chance of 2 in 100,000 (``miss``), and far less above. Equal sets
    are one class, of which one document goes on.
 2. A first round takes ``HALVES`` of the tables. Each class is compared with the smallest of the bucket it shares
-   most tables with; what is confirmed gives components. It is repeated with other hubs, so that groups of copies
-   come together without their pairs.
+   most tables with; what is confirmed gives components, so that most copies come together without their pairs.
+   It can be repeated with other hubs (``ROUNDS``).
 3. Then all tables count, but only for classes whose half keys also occur in another component. Classes that buckets
    join are a family. Its sets are compared with those of other components in blocks of bounded size; a block
    gives one link for each set that is joined to another, not the pairs. The work grows with the square of what is
@@ -42,7 +42,7 @@ SIZE = 4
 PERCENT = 80
 HALVES = 16
 ROWS = 3
-ROUNDS = 2
+ROUNDS = 1
 #: Partners of a hub in one part; documents, and shingles, in one chunk of a family.
 PART = 512
 BLOCK = 1024
