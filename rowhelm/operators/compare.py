@@ -6,6 +6,9 @@ compared as profiled, that is rounded.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +63,10 @@ def compare_row_count(
             F.col("row_count").alias("base"),
         )
     )
-    both = sides.agg(F.max("dataset").alias("dataset"), F.max("cur").alias("cur"), F.max("base").alias("base"))
+    return _row_changes(sides.agg(F.max("dataset").alias("dataset"), F.max("cur").alias("cur"), F.max("base").alias("base")), thresholds)
+
+
+def _row_changes(both: DataFrame, thresholds: ComparisonThresholds) -> DataFrame:
     change = F.when(F.col("base") > 0, (F.col("cur") - F.col("base")) / F.col("base"))
     severity = F.when(F.abs(change) > thresholds.row_count_high, HIGH).otherwise(MEDIUM)
     return (
@@ -132,11 +138,24 @@ def _unique_rule(t: ComparisonThresholds) -> Column:
     return F.when(F.abs(change) > t.unique_count, found)
 
 
+def _paired_datasets(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Columns of many datasets side by side, matched by dataset and column."""
+
+    def side(columns: DataFrame, prefix: str) -> DataFrame:
+        return columns.select("dataset", "column", *[F.col(c).alias(f"{prefix}_{c}") for c in COMPARED])
+
+    both = side(current, "cur").join(side(baseline, "base"), ["dataset", "column"], "full_outer")
+    return both.withColumn("cur_dataset", F.col("dataset")).withColumn("base_dataset", F.col("dataset")).drop("dataset")
+
+
 def _column_changes(current: DataFrame, baseline: DataFrame, rules: list[Column]) -> DataFrame:
+    return _changes_of(_paired(current, baseline), rules)
+
+
+def _changes_of(paired: DataFrame, rules: list[Column]) -> DataFrame:
     after_all = F.lit(1 << 32)  # missing columns come after the columns of the current table
     return (
-        _paired(current, baseline)
-        .select(
+        paired.select(
             F.coalesce("cur_dataset", "base_dataset").alias("dataset"),
             F.coalesce("cur_position", F.col("base_position") + after_all).alias("position"),
             "column",
@@ -172,14 +191,47 @@ def compare_profiles(
 ) -> DataFrame:
     """All changes. Sorted by ``position`` and ``rule`` they read: row count, the columns
     of the current table in order, then the missing columns."""
-    rules = _schema_rules() + [
-        rule(thresholds) for rule in (_null_rule, _mean_rule, _negative_rule, _unique_rule)
-    ]
     return compare_row_count(current.table, baseline.table, thresholds).unionByName(
-        _column_changes(current.columns, baseline.columns, rules)
+        _column_changes(current.columns, baseline.columns, _all_rules(thresholds))
     )
 
 
+def _all_rules(thresholds: ComparisonThresholds) -> list[Column]:
+    return _schema_rules() + [rule(thresholds) for rule in (_null_rule, _mean_rule, _negative_rule, _unique_rule)]
+
+
+def together(profiles: Sequence[TableSummary]) -> TableSummary:
+    """The profiles of many datasets as one, told apart by ``dataset``."""
+    return TableSummary(reduce(DataFrame.unionByName, [p.table for p in profiles]), reduce(DataFrame.unionByName, [p.columns for p in profiles]))
+
+
+def compare_datasets(
+    current: TableSummary,
+    baseline: TableSummary,
+    pairs: dict[str, str] | None = None,
+    thresholds: ComparisonThresholds = DEFAULTS,
+) -> DataFrame:
+    """All changes of many datasets at once, each against its own baseline.
+
+    ``pairs`` names the baseline of each current dataset; without it, datasets of the same name are paired.
+    Datasets without a partner are not compared. Beside the columns of ``compare_profiles`` there are the
+    ``baseline_dataset`` and ``compared_at``.
+    """
+    if pairs is not None:
+        if not pairs:
+            raise ValueError("no pairs to compare")
+        named = {base: F.array(*[F.lit(c) for c, b in pairs.items() if b == base]) for base in dict.fromkeys(pairs.values())}
+        names = F.create_map(*[x for base, currents in named.items() for x in (F.lit(base), currents)])
+        renamed = lambda df: df.withColumn("dataset", F.explode(names[F.col("dataset")]))
+        baseline = TableSummary(renamed(baseline.table), renamed(baseline.columns))
+    tables = current.table.select("dataset", F.col("row_count").alias("cur")).join(baseline.table.select("dataset", F.col("row_count").alias("base")), "dataset")
+    both = tables.select("dataset")
+    paired = _paired_datasets(current.columns.join(both, "dataset", "left_semi"), baseline.columns.join(both, "dataset", "left_semi"))
+    found = _row_changes(tables, thresholds).unionByName(_changes_of(paired, _all_rules(thresholds)))
+    base_name = F.col("dataset") if pairs is None else F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])[F.col("dataset")]
+    return found.withColumn("baseline_dataset", base_name).withColumn("compared_at", F.current_timestamp())
+
+
 def has_significant_changes(changes: DataFrame) -> DataFrame:
     """One row: ``(changes, has_changes)``."""
     return changes.agg(F.count(F.lit(1)).alias("changes")).withColumn("has_changes", F.col("changes") > 0)

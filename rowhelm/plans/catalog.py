@@ -426,6 +426,17 @@ def compare_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return _changes(compare.compare_profiles(*_compared(spark, sf)))
 
 
+def compare_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two datasets at once, each against its own baseline; the customers lose rows, a column and their positive balances."""
+    now, before = _compared(spark, sf)
+    customers = read_table(spark, sf, "customer")
+    fewer = customers.filter(F.col("c_custkey") % 3 == 0).withColumn("c_acctbal", -F.abs("c_acctbal")).drop("c_mktsegment")
+    current = compare.together([now, profile.profile(fewer, "customer_part", profile.COMPARED_STATISTICS)])
+    baseline = compare.together([before, profile.profile(customers, "customer", profile.COMPARED_STATISTICS)])
+    found = compare.compare_datasets(current, baseline, {"current": "baseline", "customer_part": "customer"})
+    return found.select("dataset", "baseline_dataset", *CHANGE_OUT)
+
+
 def has_changes(spark: SparkSession, sf: str) -> DataFrame:
     current, baseline = _compared(spark, sf)
     itself = compare.has_significant_changes(compare.compare_profiles(current, current))
@@ -566,6 +577,7 @@ QUERIES: dict[str, Query] = {
     "cmp_unique": _column_comparison(compare.compare_unique_count),
     "schema_drift": _column_comparison(compare.compare_schema),
     "compare_profiles": compare_profiles,
+    "compare_datasets": compare_datasets,
     "has_changes": has_changes,
     "quality_issues": quality_issues,
     "anomalies_by_type": anomalies_by_type,

@@ -306,6 +306,23 @@ CHANGES = {
 ALL_CHANGES = union(list(CHANGES.values()))
 
 
+def _customer_changes() -> str:
+    """The same rules over the customers and a third of them, in place of the events."""
+    part = "(SELECT c_custkey, c_name, c_nationkey, -abs(c_acctbal) AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)"
+    schema = SCHEMAS["customer"]
+    fewer = {c: s for c, s in schema.items() if c != "c_mktsegment"}
+    swaps = [
+        (column_profiles(CURRENT, CURRENT_SCHEMA), column_profiles(part, fewer)),
+        (column_profiles(BASELINE, BASELINE_SCHEMA), column_profiles("customer", schema)),
+        (f"FROM {CURRENT} c)", f"FROM {part} c)"),
+        (f"FROM {BASELINE} b)", "FROM customer b)"),
+    ]
+    text = ALL_CHANGES
+    for old, new in swaps:
+        text = text.replace(old, new)
+    return text
+
+
 # ---- all -----------------------------------------------------------------------------
 
 EVENTS, ORDERS, LINES = SCHEMAS["events"], SCHEMAS["orders"], SCHEMAS["lineitem"]
@@ -475,6 +492,8 @@ ORACLES: dict[str, str] = {
     "enriched_detect_distribution": anomalies(share_findings(ENRICHED, "o_orderdate", ["l_returnflag", "o_orderpriority", "p_brand"])),
     **CHANGES,
     "compare_profiles": ALL_CHANGES,
+    "compare_datasets": f"""SELECT 'current' AS dataset, 'baseline' AS baseline_dataset, a.* FROM ({ALL_CHANGES}) a
+        UNION ALL SELECT 'customer_part', 'customer', b.* FROM ({_customer_changes()}) b""",
     "has_changes": f"""SELECT count(*) AS changes, count(*) > 0 AS has_changes, 'drifted' AS pair FROM ({ALL_CHANGES}) c
         UNION ALL SELECT 0::bigint, false, 'itself'""",
     "quality_issues": _issues(),
