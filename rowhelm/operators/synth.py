@@ -1,15 +1,33 @@
 """Synthetic shop tables, hash-seeded: the same rows on every run and cluster layout.
 
 Each job takes the keys or days to make rows for, from ``spark.range`` or another table.
+
+Faults are planned by day before anything is made (``fault_plan``, ``with_faults``). The days carry
+them in the column ``faults``, which volume, orders and items hand on and heed, so a fault on the items
+reaches the order totals; ``planted_faults`` is the ground truth.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowhelm.functions.scalars import hash_fraction
-from rowhelm.operators.inject import NORMAL_WEIGHTS, pick_weighted
+from rowhelm.operators.inject import (
+    FAULT_CATEGORY_SHIFT,
+    FAULT_NEGATIVE,
+    FAULT_NULLS,
+    FAULT_SIGNS,
+    FAULT_VOLUME_DROP,
+    KEEP_SHARE,
+    NEGATIVE_SHARE,
+    NORMAL_WEIGHTS,
+    NULL_SHARE,
+    SHIFTED_WEIGHTS,
+    pick_weighted,
+)
 
 # The categories with their price ranges, and the weighted choices.
 PRICE_RANGES = {
@@ -29,6 +47,37 @@ NOISE = 0.1
 
 RANK_BLOCK = 4096
 ORDER_BLOCK = 10_000
+PLANNED = "faults"
+
+
+def fault_plan(spark: SparkSession, faults: Mapping[int, str | Sequence[str]]) -> DataFrame:
+    """``(day_idx, fault)`` from the fault or faults of each day number."""
+    rows = [(day, f) for day, planned in sorted(faults.items()) for f in ([planned] if isinstance(planned, str) else planned)]
+    unknown = sorted({f for _, f in rows} - set(FAULT_SIGNS))
+    if unknown:
+        raise ValueError(f"unknown faults: {', '.join(unknown)}")
+    return spark.createDataFrame(rows, "day_idx bigint, fault string")
+
+
+def with_faults(days: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add ``faults``, the sorted names planned for each day; empty on the other days."""
+    per_day = plan.groupBy("day_idx").agg(F.sort_array(F.collect_set("fault")).alias(PLANNED))
+    none = F.array().cast("array<string>")
+    return days.join(per_day, "day_idx", "left").withColumn(PLANNED, F.coalesce(PLANNED, none))
+
+
+def planted_faults(days: DataFrame) -> DataFrame:
+    """The ground truth ``(day, fault)``: what is planned for a day that exists."""
+    return days.select("day", F.explode(PLANNED).alias("fault"))
+
+
+def _planned_in(df: DataFrame) -> list[str]:
+    return [PLANNED] if PLANNED in df.columns else []
+
+
+def _on_fault(df: DataFrame, fault: str, then: Column, otherwise: Column) -> Column:
+    """``then`` on the days with the fault; without a plan the column is not looked for."""
+    return F.when(F.array_contains(PLANNED, fault), then).otherwise(otherwise) if _planned_in(df) else otherwise
 
 
 def _pick(fraction: Column, weights: dict[str, float]) -> Column:
@@ -64,42 +113,51 @@ def synth_products(ids: DataFrame, key: str = "id", seed: int = 42) -> DataFrame
 
 
 def synth_daily_volume(days: DataFrame, base: Column | int = 1000, seed: int = 42) -> DataFrame:
-    """``(day, day_idx, order_count)``: a base volume, busier weekends and +-10 % noise."""
+    """``(day, day_idx, order_count)``: a base volume, busier weekends and +-10 % noise.
+
+    Planned volume drops keep half of the day's orders.
+    """
     weekend = F.when(F.col("day_idx") % 7 >= 5, F.lit(WEEKEND_FACTOR)).otherwise(F.lit(1.0))
     noise = (1 - NOISE) + 2 * NOISE * hash_fraction(seed, "volume", F.col("day_idx"))
     base = F.lit(base) if isinstance(base, int) else base
-    return days.select("day", "day_idx", F.floor(base * weekend * noise).cast("bigint").alias("order_count"))
+    count = F.floor(base * weekend * noise)
+    count = _on_fault(days, FAULT_VOLUME_DROP, F.floor(count * KEEP_SHARE), count)
+    return days.select("day", "day_idx", count.cast("bigint").alias("order_count"), *_planned_in(days))
 
 
 def synth_orders(volume: DataFrame, seed: int = 42) -> DataFrame:
     """``order_count`` orders for each day of :func:`synth_daily_volume`, numbered through.
 
     A day is cut into blocks that are spread over the cluster before they are filled, so
-    that a single busy day is not written by one task.
+    that a single busy day is not written by one task. Planned missing customers are NULL in a fifth
+    of the day's orders.
     """
+    planned = _planned_in(volume)
     # One row per day, so a single window is small.
     earlier = Window.partitionBy(F.lit(1)).orderBy("day_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = F.floor((F.col("order_count") - 1) / ORDER_BLOCK)
     blocks = (
         volume.withColumn("offset", F.coalesce(F.sum("order_count").over(earlier), F.lit(0)))
         .filter(F.col("order_count") > 0)
-        .select("day", "offset", "order_count", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+        .select("day", "offset", "order_count", *planned, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
         .repartition("day", "block")
     )
     start = F.col("block") * ORDER_BLOCK + 1
     end = F.least(start + ORDER_BLOCK - 1, F.col("order_count"))
-    orders = blocks.select("day", "offset", F.explode(F.sequence(start, end)).alias("in_day")).select(
-        "day", (F.col("offset") + F.col("in_day")).alias("order_no")
+    orders = blocks.select("day", "offset", *planned, F.explode(F.sequence(start, end)).alias("in_day")).select(
+        "day", *planned, (F.col("offset") + F.col("in_day")).alias("order_no")
     )
     number = F.col("order_no")
-    customer = _uniform_int(hash_fraction(seed, "customer", number), 1, CUSTOMERS)
+    customer = F.format_string("CUST_%05d", _uniform_int(hash_fraction(seed, "customer", number), 1, CUSTOMERS))
+    known = F.when(hash_fraction(seed, "missing customer", number) >= NULL_SHARE, customer)
     minute = _uniform_int(hash_fraction(seed, "minute", number), 0, 24 * 60 - 1)
     return orders.select(
         F.format_string("ORD_%06d", number).alias("order_id"),
-        F.format_string("CUST_%05d", customer).alias("customer_id"),
+        _on_fault(orders, FAULT_NULLS, known, customer).alias("customer_id"),
         (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(mins=minute.cast("int"))).alias("order_date"),
         _pick(hash_fraction(seed, "status", number), STATUS_WEIGHTS).alias("status"),
         _pick(hash_fraction(seed, "items", number), ITEM_COUNT_WEIGHTS).cast("bigint").alias("item_count"),
+        *planned,
     )
 
 
@@ -125,6 +183,13 @@ def ranked_products(products: DataFrame) -> DataFrame:
     )
 
 
+def _drawn(weights: Sequence[float], sizes: Mapping[str, int]) -> dict[str, float]:
+    """An item is drawn among the categories that have products, so no order loses items."""
+    drawn = {c: w for c, w in zip(CATEGORIES, weights) if c in sizes}
+    all_weights = 1.0 if len(drawn) == len(CATEGORIES) else sum(drawn.values()) or 1.0
+    return {c: w / all_weights for c, w in drawn.items()}
+
+
 def synth_items(
     orders: DataFrame,
     products: DataFrame,
@@ -134,30 +199,33 @@ def synth_items(
     """One to five items per order; the product is found by category and rank.
 
     A category is drawn first, then one of its products. The join key is (category, rank),
-    which spreads a popular category over all its products.
+    which spreads a popular category over all its products. On days with the planned faults the
+    categories have other weights, or a twentieth of the prices is negative.
     """
+    planned = _planned_in(orders)
     # At most one row per category of the fixed list.
     counted = products.filter(F.col("category").isin(CATEGORIES)).groupBy("category").count().collect()
     sizes = {row["category"]: row["count"] for row in counted}
     if not sizes:
         raise ValueError("no products of a known category")
-    drawn = {c: w for c, w in zip(CATEGORIES, weights or NORMAL_WEIGHTS) if c in sizes}
-    # An item is drawn among the categories that have products, so no order loses items.
-    all_weights = 1.0 if len(drawn) == len(CATEGORIES) else sum(drawn.values()) or 1.0
-    drawn = {c: w / all_weights for c, w in drawn.items()}
+    drawn, shifted = _drawn(weights or NORMAL_WEIGHTS, sizes), _drawn(SHIFTED_WEIGHTS, sizes)
     category_size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("category")]
-    lines = orders.select("order_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("item_count"))).alias("line"))
+    lines = orders.select("order_id", *planned, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("item_count"))).alias("line"))
     key = [F.col("order_id"), F.col("line")]
+    fraction = hash_fraction(seed, "item category", *key)
     lines = lines.select(
         "order_id",
         "line",
-        _pick(hash_fraction(seed, "item category", *key), drawn).alias("category"),
+        *planned,
+        _on_fault(lines, FAULT_CATEGORY_SHIFT, _pick(fraction, shifted), _pick(fraction, drawn)).alias("category"),
         hash_fraction(seed, "product", *key).alias("product_fraction"),
         _pick(hash_fraction(seed, "quantity", *key), QUANTITY_WEIGHTS).cast("bigint").alias("quantity"),
         ((1 - NOISE) + 2 * NOISE * hash_fraction(seed, "item price", *key)).alias("price_factor"),
     )
     lines = lines.withColumn("rank", F.floor(F.col("product_fraction") * category_size).cast("bigint"))
     price = F.round(F.col("base_price") * F.col("price_factor"), 2)
+    negative = F.when(hash_fraction(seed, "negative price", *key) < NEGATIVE_SHARE, -F.abs(price)).otherwise(price)
+    price = _on_fault(lines, FAULT_NEGATIVE, negative, price)
     return lines.join(ranked_products(products).drop("category_size"), ["category", "rank"]).select(
         F.format_string("ITEM_%s_%d", "order_id", "line").alias("item_id"),
         "order_id",

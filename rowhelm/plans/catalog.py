@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowhelm.functions.scalars import hash_fraction, severity
-from rowhelm.operators import compare, daily, detect, frequency, history, inject, profile, ranking, rules, synth
+from rowhelm.operators import compare, daily, detect, enrich, frequency, history, inject, profile, ranking, rules, synth
 from rowhelm.operators.daily import daily_profile
 from rowhelm.plans import reports, runs
 from rowhelm.sources.csv import infer_tables
@@ -406,6 +406,16 @@ def enriched_detect_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return _anomalies(detect.detect_distribution(shares, volume))
 
 
+def enriched_detect_all_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The share detector over the order lines with all text columns of lines, orders and parts."""
+    lookups = [
+        enrich.Lookup(read_table(spark, sf, "orders"), "l_orderkey", "o_orderkey"),
+        enrich.Lookup(read_table(spark, sf, "part"), "l_partkey", "p_partkey"),
+    ]
+    shares, volume = enrich.enriched_categories(read_table(spark, sf, "lineitem"), lookups, "o_orderdate")
+    return _anomalies(detect.detect_distribution(shares, volume))
+
+
 # ---- comparison ----------------------------------------------------------------------
 
 
@@ -534,6 +544,35 @@ def synth_order_totals(spark: SparkSession, sf: str) -> DataFrame:
     return synth.synth_order_totals(orders, synth.synth_items(orders, _products(spark, sf)))
 
 
+PLANNED_DAYS = {10: inject.FAULT_VOLUME_DROP, 15: inject.FAULT_NEGATIVE, 20: inject.FAULT_NULLS, 25: inject.FAULT_CATEGORY_SHIFT}
+
+
+def _planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(days with their faults, orders, items), made under the fault plan."""
+    days = synth.with_faults(daily.daily_volume(read_table(spark, sf, "events"), "ts"), synth.fault_plan(spark, PLANNED_DAYS))
+    orders = synth.synth_orders(synth.synth_daily_volume(days, base=F.col("row_count")))
+    return days, orders, synth.synth_items(orders, _products(spark, sf))
+
+
+def planned_orders(spark: SparkSession, sf: str) -> DataFrame:
+    _, orders, items = _planned(spark, sf)
+    return synth.synth_order_totals(orders.drop(synth.PLANNED), items)
+
+
+def planned_items(spark: SparkSession, sf: str) -> DataFrame:
+    return _planned(spark, sf)[2]
+
+
+def planned_vs_detected(spark: SparkSession, sf: str) -> DataFrame:
+    """Are the planned faults found in the orders and in the items, enriched by order date and category?"""
+    days, orders, items = _planned(spark, sf)
+    lines = items.join(orders.select("order_id", "order_date"), "order_id").join(_products(spark, sf).select("product_id", "category"), "product_id")
+    lines = lines.select("order_date", "category", "quantity", "unit_price", "line_total")
+    frames = {"orders": orders.drop(synth.PLANNED), "items": lines}
+    found = [detect.detect_all(daily_profile(df, "order_date", name=n)) for n, df in frames.items()]
+    return inject.injected_vs_detected(synth.planted_faults(days), _stack(found))
+
+
 QUERIES: dict[str, Query] = {
     "date_parse_by_name": date_parse_by_name,
     "date_column_detect": date_column_detect,
@@ -570,6 +609,7 @@ QUERIES: dict[str, Query] = {
     "detect_all": detect_all,
     "detect_long_categories": detect_long_categories,
     "enriched_detect_distribution": enriched_detect_distribution,
+    "enriched_detect_all_texts": enriched_detect_all_texts,
     "cmp_row_count": cmp_row_count,
     "cmp_null_rate": _column_comparison(compare.compare_null_rate),
     "cmp_mean": _column_comparison(compare.compare_mean),
@@ -595,4 +635,7 @@ QUERIES: dict[str, Query] = {
     "synth_orders": synth_orders,
     "synth_items": synth_items,
     "synth_order_totals": synth_order_totals,
+    "planned_orders": planned_orders,
+    "planned_items": planned_items,
+    "planned_vs_detected": planned_vs_detected,
 }

@@ -408,6 +408,29 @@ SYNTH_ITEMS = f"""(SELECT printf('ITEM_%s_%d', order_id, line) AS item_id, order
             count(*) OVER (PARTITION BY category) AS category_size FROM {PRODUCTS} p) r
         ON i.category = r.category AND floor(i.product_fraction * r.category_size)::bigint = r.rank) u)"""
 
+# The same tables made under the fault plan.
+def _day(number: int) -> str:
+    return f"(SELECT day FROM ({volume('events', 'ts')}) v WHERE day_idx = {number})"
+
+
+PLANNED_VOLUME = f"(SELECT day, day_idx, CASE WHEN day_idx = 10 THEN floor(order_count * 0.5::double)::bigint ELSE order_count END AS order_count FROM {SYNTH_VOLUME} s)"
+PLANNED_ORDERS = f"""(SELECT * REPLACE (CASE WHEN order_date::date <> {_day(20)} OR {fraction('missing customer', "order_id[5:]::bigint")} >= 0.2::double
+    THEN customer_id END AS customer_id) FROM {SYNTH_ORDERS.replace(SYNTH_VOLUME, PLANNED_VOLUME)} a)"""
+PLANNED_LINES = f"""(SELECT printf('ITEM_%s_%d', order_id, line) AS item_id, order_id, order_date, category, product_id, quantity, unit_price,
+    round(unit_price * quantity, 2) AS line_total FROM (
+    SELECT i.*, product_id, CASE WHEN order_date::date = {_day(15)} AND {fraction('negative price', *_LINE)} < 0.05::double
+        THEN -round(base_price * price_factor, 2) ELSE round(base_price * price_factor, 2) END AS unit_price FROM (
+        SELECT order_id, line, order_date, CASE WHEN order_date::date = {_day(25)} THEN {weighted(fraction('item category', *_LINE), CATEGORIES, SHIFTED_WEIGHTS)}
+            ELSE {weighted(fraction('item category', *_LINE), CATEGORIES, NORMAL_WEIGHTS)} END AS category,
+            {fraction('product', *_LINE)} AS product_fraction,
+            ({weighted(fraction('quantity', *_LINE), list(QUANTITY_WEIGHTS), list(QUANTITY_WEIGHTS.values()))})::bigint AS quantity,
+            0.9::double + 0.2::double * {fraction('item price', *_LINE)} AS price_factor
+        FROM (SELECT order_id, order_date, unnest(range(1, item_count + 1)) AS line FROM {PLANNED_ORDERS} o) l) i
+    JOIN (SELECT category, product_id, base_price, row_number() OVER (PARTITION BY category ORDER BY product_no) - 1 AS rank,
+            count(*) OVER (PARTITION BY category) AS category_size FROM {PRODUCTS} p) r
+        ON i.category = r.category AND floor(i.product_fraction * r.category_size)::bigint = r.rank) u)"""
+PLANNED_ORDERS_SCHEMA = {"order_id": ("i", None), "customer_id": ("i", None), "order_date": ("d", 8), "status": ("t", None), "item_count": ("n", 8)}
+PLANNED_LINES_SCHEMA = {"order_date": ("d", 8), "category": ("t", None), "quantity": ("n", 8), "unit_price": ("n", 8), "line_total": ("n", 8)}
 
 
 def _csv_types(name: str) -> str:
@@ -490,6 +513,12 @@ ORACLES: dict[str, str] = {
     "detect_all": anomalies(FAULTY_FINDINGS),
     "detect_long_categories": anomalies(share_findings(DESCRIBED, "ts", ["event_type"], 0.05)),
     "enriched_detect_distribution": anomalies(share_findings(ENRICHED, "o_orderdate", ["l_returnflag", "o_orderpriority", "p_brand"])),
+    "enriched_detect_all_texts": anomalies(
+        share_findings(
+            "(SELECT o_orderdate, l_returnflag, l_linestatus, o_orderstatus, o_orderpriority, p_name, p_brand, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)",
+            "o_orderdate", ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "p_name", "p_brand", "p_type"],
+        )
+    ),
     **CHANGES,
     "compare_profiles": ALL_CHANGES,
     "compare_datasets": f"""SELECT 'current' AS dataset, 'baseline' AS baseline_dataset, a.* FROM ({ALL_CHANGES}) a
@@ -525,4 +554,13 @@ ORACLES: dict[str, str] = {
     "synth_items": f"SELECT * FROM {SYNTH_ITEMS} i",
     "synth_order_totals": f"""SELECT o.*, total_amount FROM {SYNTH_ORDERS} o
         JOIN (SELECT order_id, round(sum(unit_price * quantity), 2) AS total_amount FROM {SYNTH_ITEMS} i GROUP BY order_id) t USING (order_id)""",
+    "planned_orders": f"""SELECT o.*, total_amount FROM {PLANNED_ORDERS} o
+        JOIN (SELECT order_id, round(sum(unit_price * quantity), 2) AS total_amount FROM {PLANNED_LINES} i GROUP BY order_id) t USING (order_id)""",
+    "planned_items": f"SELECT item_id, order_id, product_id, quantity, unit_price, line_total FROM {PLANNED_LINES} i",
+    "planned_vs_detected": f"""WITH made AS MATERIALIZED (SELECT * FROM {PLANNED_ORDERS} o), lines AS MATERIALIZED (SELECT * FROM {PLANNED_LINES} i),
+        found AS ({union([all_findings('made', 'order_date', PLANNED_ORDERS_SCHEMA), all_findings('lines', 'order_date', PLANNED_LINES_SCHEMA)])})
+        SELECT f.day, f.fault, count(a.day) AS hits, count(a.day) > 0 AS detected
+        FROM (VALUES ({_day(10)}, 'volume_drop', 'volume_drop'), ({_day(15)}, 'negative_prices', 'negative_values'),
+        ({_day(20)}, 'null_customers', 'null_rate_increase'), ({_day(25)}, 'category_shift', 'distribution_shift')) f(day, fault, sign)
+        LEFT JOIN found a ON a.day = f.day AND a.type = f.sign GROUP BY f.day, f.fault""",
 }

@@ -11,6 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 PLANNED = [
     "table_profile", "duplicate_rows", "numeric_quartiles", "top_values", "column_profile", "daily_numeric",
     "daily_category_share", "detect_all", "detect_distribution", "enriched_detect_distribution",
+    "enriched_detect_all_texts", "planned_vs_detected",
     "compare_profiles", "has_changes", "quality_issues", "synth_order_totals",
 ]
 
@@ -38,6 +39,17 @@ def test_share_counts_are_shuffled_once(spark):
     assert "ReusedExchange" in plan and len(re.findall("FileScan", plan)) == 2
 
 
+def test_enriched_shares_join_once(spark):
+    # As for tables too large to broadcast.
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = plan_of(QUERIES["enriched_detect_all_texts"](spark, SF_DIR), run=True)
+    finally:
+        spark.conf.unset(threshold)
+    assert "ReusedExchange" in plan and len(re.findall("FileScan", plan)) == 3
+
+
 def test_top_values_are_cut_before_the_shuffle(spark):
     assert re.search(r"WindowGroupLimit \[.*Partial", plan_of(QUERIES["top_values"](spark, SF_DIR)))
 
