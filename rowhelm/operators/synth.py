@@ -129,10 +129,12 @@ def synth_orders(volume: DataFrame, seed: int = 42) -> DataFrame:
     """``order_count`` orders for each day of :func:`synth_daily_volume`, numbered through.
 
     A day is cut into blocks that are spread over the cluster before they are filled, so
-    that a single busy day is not written by one task. Planned missing customers are NULL in a fifth
-    of the day's orders.
+    that a single busy day is not written by one task. Their number of partitions is given, or adaptive
+    execution would put the few rows of the blocks, and all that is made from them, into one. Planned
+    missing customers are NULL in a fifth of the day's orders.
     """
     planned = _planned_in(volume)
+    partitions = int(volume.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One row per day, so a single window is small.
     earlier = Window.partitionBy(F.lit(1)).orderBy("day_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = F.floor((F.col("order_count") - 1) / ORDER_BLOCK)
@@ -140,7 +142,7 @@ def synth_orders(volume: DataFrame, seed: int = 42) -> DataFrame:
         volume.withColumn("offset", F.coalesce(F.sum("order_count").over(earlier), F.lit(0)))
         .filter(F.col("order_count") > 0)
         .select("day", "offset", "order_count", *planned, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
-        .repartition("day", "block")
+        .repartition(partitions, "day", "block")
     )
     start = F.col("block") * ORDER_BLOCK + 1
     end = F.least(start + ORDER_BLOCK - 1, F.col("order_count"))
@@ -199,8 +201,9 @@ def synth_items(
     """One to five items per order; the product is found by category and rank.
 
     A category is drawn first, then one of its products. The join key is (category, rank),
-    which spreads a popular category over all its products. On days with the planned faults the
-    categories have other weights, or a twentieth of the prices is negative.
+    which spreads a popular category over all its products. The join is a merge join by hint: the lines
+    are made from few rows, so by their estimated size they would be broadcast. On days with the planned
+    faults the categories have other weights, or a twentieth of the prices is negative.
     """
     planned = _planned_in(orders)
     # At most one row per category of the fixed list.
@@ -226,7 +229,7 @@ def synth_items(
     price = F.round(F.col("base_price") * F.col("price_factor"), 2)
     negative = F.when(hash_fraction(seed, "negative price", *key) < NEGATIVE_SHARE, -F.abs(price)).otherwise(price)
     price = _on_fault(lines, FAULT_NEGATIVE, negative, price)
-    return lines.join(ranked_products(products).drop("category_size"), ["category", "rank"]).select(
+    return lines.join(ranked_products(products).drop("category_size").hint("merge"), ["category", "rank"]).select(
         F.format_string("ITEM_%s_%d", "order_id", "line").alias("item_id"),
         "order_id",
         "product_id",

@@ -1,6 +1,7 @@
 """Synthetic tables made under a plan of faults by day."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,13 @@ def test_an_empty_plan_changes_nothing(spark):
 def test_unknown_faults_are_refused(spark):
     with pytest.raises(ValueError, match="typo"):
         synth.fault_plan(spark, {1: "typo"})
+
+
+def test_made_rows_are_spread_and_never_broadcast(spark):
+    # Few blocks are few bytes: adaptive execution would make all rows in one task, and broadcast them.
+    orders = synth.synth_orders(synth.synth_daily_volume(days(spark), 400))
+    assert orders.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = synth.synth_items(orders, synth.synth_products(spark.range(60)))
+    items.collect()
+    plan = items._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"SortMergeJoin \[category#\d+, rank#", plan) and not re.search(r"BroadcastHashJoin \[category#\d+, rank#", plan)
