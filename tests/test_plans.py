@@ -58,3 +58,9 @@ def test_detect_all_reads_the_table_three_times_at_most(spark):
     plan = plan_of(QUERIES["detect_all"](spark, SF_DIR), run=True)
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert len(scans) == 3 and "ts:timestamp_ntz" in min(scans, key=len)
+
+
+def test_planned_tables_are_made_once(spark):
+    # The profiles of orders and items have many parts; none of them makes the tables anew.
+    plan = plan_of(QUERIES["planned_vs_detected"](spark, SF_DIR))
+    assert plan.count("/events.parquet") == 1 and plan.count("/part.parquet") == 0
