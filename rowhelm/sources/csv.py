@@ -71,13 +71,16 @@ def _blank_missing(df: DataFrame) -> DataFrame:
 
 #: The types that a text can be of, from the most special one on: a bit each in the masks of inferred columns.
 _TYPES = {"bigint": INTEGER_TEXT, "double": DOUBLE_TEXT, "boolean": BOOLEAN_TEXT}
+# First characters of the texts of each type, looked at before the patterns.
+_FIRST = {"bigint": "+-0123456789", "double": "+-.0123456789iI", "boolean": "tTfF"}
 
 
 def type_mask(column: Column) -> Column:
     """Bit j is set if the text is of the j-th of the inferred types; a whole number is a double as well."""
     bits = F.lit(0).cast("bigint")
+    first = F.substring(column, 1, 1)
     for j, (name, pattern) in enumerate(_TYPES.items()):
-        fits = column.rlike(pattern) & column.try_cast(name).isNotNull()
+        fits = first.isin(*_FIRST[name]) & column.rlike(pattern) & column.try_cast(name).isNotNull()
         bits = bits + F.when(fits, F.lit(1 << j).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return F.when(column.isNotNull(), bits)
 

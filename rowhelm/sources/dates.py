@@ -24,6 +24,9 @@ DATE_WORDS = ["date", "time", "timestamp", "created", "updated"]
 
 _DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 _ZONE = r"( ?Z| UTC| GMT| ?[+-]\d{2}:?\d{2})"
+# Month and day with slashes. Months above 12 are left out here, since a failing parse costs far more than a pattern.
+_MONTH_DAY = r"\d{1,2}/(?<!1[3-9]/|[2-9]\d/)\d{1,2}"
+_DAY_MONTH = r"\d{1,2}/(0?[1-9]|1[0-2])"
 
 # Accepted texts by format. Texts of ISO are cast; month-first goes before day-first.
 # Other names are patterns of Spark; a weekday in front is left out, and a zone behind is added to the pattern's moment.
@@ -43,15 +46,15 @@ DATE_FORMATS = {
     "yyyy/M/d H:mm": r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$",
     "yyyy/M/d H:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$",
     "yyyy.M.d": r"^\d{4}\.\d{1,2}\.\d{1,2}$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "M/d/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
-    "d/M/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
-    "M/d/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
-    "d/M/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
-    "M/d/yyyy h:mm a": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M$",
-    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
-    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "M/d/yyyy": rf"^{_MONTH_DAY}/\d{{4}}$",
+    "d/M/yyyy": rf"^{_DAY_MONTH}/\d{{4}}$",
+    "M/d/yyyy H:mm": rf"^{_MONTH_DAY}/\d{{4}} \d{{1,2}}:\d{{2}}$",
+    "d/M/yyyy H:mm": rf"^{_DAY_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}$",
+    "M/d/yyyy H:mm:ss": rf"^{_MONTH_DAY}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$",
+    "d/M/yyyy H:mm:ss": rf"^{_DAY_MONTH}/\d{{4}} \d{{1,2}}:\d{{2}}:\d{{2}}$",
+    "M/d/yyyy h:mm a": rf"^{_MONTH_DAY}/\d{{4}} \d{{1,2}}:\d{{2}} [AP]M$",
+    "M/d/yy": rf"^{_MONTH_DAY}/\d{{2}}$",
+    "d/M/yy": rf"^{_DAY_MONTH}/\d{{2}}$",
     "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
@@ -66,14 +69,26 @@ DATE_FORMATS = {
 #: Years of two digits from this one on belong to the last century.
 LAST_CENTURY_FROM = 69
 
+# How formats begin: a text that begins otherwise is of none that begins so.
+_BEGINNINGS = (r"^\d{4}", r"^\d{8}", r"^\d{1,2}/", r"^\d{1,2}-", r"^\d{1,2} ", "^[A-Z]")
+# What the texts of all formats begin with; numbers and words fail here after few characters.
+_BEGINS_AS_DATE = r"^(\d{4}[-/.]\d|\d{8}|\d{1,2}([-/]\d|[- ][A-Z])|[A-Z][a-z]{2,8},? \d)"
+
 # No date is longer; other texts are ruled out before any pattern is tried.
 LONGEST_DATE = 40
 
 
+def _whole(column: Column, pattern: str, group: int) -> Column:
+    """A group of digits as a number; NULL if it is empty, which is asked first, since failing casts are dear."""
+    digits = F.regexp_extract(column, pattern, group)
+    return F.when(digits != "", digits.try_cast("int"))
+
+
 def _offset(column: Column) -> Column:
     """The zone at the end of a text, as an interval east of UTC; Z, UTC and GMT are none."""
-    sign, hours, minutes = (F.regexp_extract(column, r"([+-])(\d{2}):?(\d{2})$", k) for k in (1, 2, 3))
-    seconds = hours.try_cast("int") * 3600 + minutes.try_cast("int") * 60
+    zone = r"([+-])(\d{2}):?(\d{2})$"
+    sign = F.regexp_extract(column, zone, 1)
+    seconds = _whole(column, zone, 2) * 3600 + _whole(column, zone, 3) * 60
     return F.make_dt_interval(secs=F.coalesce(F.when(sign == "-", -seconds).otherwise(seconds), F.lit(0)))
 
 
@@ -105,7 +120,7 @@ def _of_pattern(column: Column, pattern: str) -> Column:
     day = F.try_to_date(F.regexp_replace(column, _CLOCK, "") if clock else column, day_pattern)
     if not clock:
         return day.cast("timestamp_ntz")
-    hour, minute, second = (F.coalesce(F.regexp_extract(column, _CLOCK, k).try_cast("int"), F.lit(0)) for k in (1, 2, 3))
+    hour, minute, second = (F.coalesce(_whole(column, _CLOCK, k), F.lit(0)) for k in (1, 2, 3))
     valid = (hour < 24) & (minute < 60) & (second < 60)
     if pattern.endswith(" a"):
         valid = valid & hour.between(1, 12)
@@ -118,16 +133,21 @@ def may_be_date(column: Column) -> Column:
 
 
 def format_mask(column: Column) -> Column:
-    """Bit j is set if the text is of the j-th format; most texts are ruled out by one pattern."""
+    """Bit j is set if the text is of the j-th format; most texts are ruled out by how they begin."""
     any_format = "|".join(dict.fromkeys(DATE_FORMATS.values()))
     none = F.lit(0).cast("bigint")
+    begins = {name: next(b for b in _BEGINNINGS if pattern.startswith(b)) for name, pattern in DATE_FORMATS.items()}
 
     def bits(text: Column) -> Column:
-        return reduce(Column.__add__, [F.when(_parsed(text, name).isNotNull(), F.lit(1 << j).cast("bigint")).otherwise(none) for j, name in enumerate(DATE_FORMATS)])
+        alike = {b: [] for b in _BEGINNINGS}
+        for j, name in enumerate(DATE_FORMATS):
+            alike[begins[name]].append(F.when(_parsed(text, name).isNotNull(), F.lit(1 << j).cast("bigint")).otherwise(none))
+        return reduce(Column.__add__, [F.when(text.rlike(b), reduce(Column.__add__, some)).otherwise(none) for b, some in alike.items()])
 
     # All formats in one expression are more code than one compiled method can hold; in a lambda they are interpreted.
     fits = F.element_at(F.transform(F.array(column), bits), 1)
-    return F.when(column.isNotNull(), F.when(may_be_date(column) & column.rlike(any_format), fits).otherwise(none))
+    may_be = may_be_date(column) & column.rlike(_BEGINS_AS_DATE) & column.rlike(any_format)
+    return F.when(column.isNotNull(), F.when(may_be, fits).otherwise(none))
 
 
 def format_of(mask: int | None) -> str | None:

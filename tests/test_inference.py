@@ -1,12 +1,13 @@
 """Date formats, types of text columns in one pass, and failures that stay with their dataset."""
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
 from rowhelm.plans import runs
 from rowhelm.sources.csv import infer_tables
-from rowhelm.sources.dates import find_date_columns, parse_column
+from rowhelm.sources.dates import DATE_FORMATS, find_date_columns, format_mask, parse_column
 
 MOMENTS = {
     "20240105": (2024, 1, 5),
@@ -67,6 +68,16 @@ def test_types_of_texts(spark):
     assert both["a"] == wanted and both["b"]["flag"] == ("string", None)
 
 
+def test_impossible_dates_and_plain_numbers_fail_by_patterns(spark):
+    # A failing parse or cast costs far more than a pattern; what the masks say does not change.
+    texts = ["01/25/2024", "25/01/2024", "01/02/2024", "25/25/2024", "1/2/24", "13/2/24", "0/1/2024"]
+    wanted = [("M/d/yyyy",), ("d/M/yyyy",), ("M/d/yyyy", "d/M/yyyy"), (), ("M/d/yy", "d/M/yy"), ("d/M/yy",), ()]
+    assert re.match(DATE_FORMATS["d/M/yyyy"], "01/25/2024") is None and re.match(DATE_FORMATS["M/d/yyyy"], "25/01/2024") is None
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string").select("i", format_mask(F.col("v")).alias("mask"))
+    got = [tuple(name for j, name in enumerate(DATE_FORMATS) if r["mask"] >> j & 1) for r in df.orderBy("i").collect()]
+    assert got == wanted
+
+
 def days(spark, n, fails_at=None):
     df = spark.range(n * 4).select(
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % n).cast("int")).alias("day"), F.col("id").cast("double").alias("x"), F.concat(F.lit("k"), F.col("id") % 3).alias("kind")
