@@ -4,13 +4,13 @@ A document's set is its distinct five-word shingles, lower-cased (A to Z); with
 sequence is its one shingle. Documents with no word have an empty set and no links. Two documents
 link when 100 * intersection >= 80 * union. Equal sets are one class.
 
-1. A count-min sketch counts the shingles with a small hash. A set of n shingles needs at least
+1. Shingles are counted exactly, in shards (see ``postings``). A set of n shingles needs at least
    0.8 n in common with any partner, so of its n - ceil(0.8 n) + 1 first shingles, in an order that all
-   documents share, a partner must have one among its own first. The order is: seen once, twice, more
-   often, unknown, very common; then the hash. Shingles estimated to occur once have no partner, so
-   most documents drop out without a row being sent. Estimates are never too low, so none is lost.
+   documents share, a partner must have one among its own first. The order is: seen once, then ever
+   more often, unknown; then the hash. Shingles that occur once have no partner, so most documents drop
+   out with their counts.
 2. Classes that share such a first shingle are in one block (connected components of a star per list,
-   so no pairs). Links never leave a block.
+   so no pairs). Links never leave a block. Only the members' whole sets are made (again) and sent.
 3. In a block, inverted lists of all shingles are searched: the shorter lists are merged by a heap that
    skips documents with too few occurrences, the longest are probed by binary search for those that
    are left, and a document that reaches the required overlap is linked. Documents that are in one
@@ -33,13 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowhelm.llm import sketch
+from rowhelm.llm import postings, sketch
 from rowhelm.llm.columns import sealed
 from rowhelm.llm.components import connected
-from rowhelm.llm.storage import stored
+from rowhelm.llm.storage import drop_stored, stored
 from rowhelm.llm.words import Slice, mix, slices, span_sums
 
 SHINGLE = 5
@@ -52,11 +53,7 @@ MU = 0.01
 #: Hubs that are searched in a large block in each round, and rounds.
 HUBS = 8
 HUB_ROUNDS = 2
-#: Shingles with at least this share of all come last in the common order.
-HEAVY = 1 << 17
 BYTES_PER_WORD = 6
-#: Shingles whose hash is below this are counted: half of them.
-COUNTED = np.uint64(1) << np.uint64(63)
 
 
 def shingle_sets(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -198,42 +195,79 @@ def block_roots(index: Index, blocks: list) -> list[int]:
     return [find(parent, x) for x in range(len(parent))]
 
 
-def _sets(size: int, percent: int, counters, heavy, heavy_n) -> callable:
+def _key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _counted(size: int, percent: int, shards: int) -> callable:
+    """Two kinds of rows: the documents, and the posting lists of their first shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.log2(np.maximum(heavy_n.value, 1)).astype(np.int64)
+        task = TaskContext.get().partitionId() << 20
+        made, group = 0, postings.Group(task, shards)
+
+        def lists(kind):
+            names, blobs = group.lists()
+            none = [pa.nulls(len(names), t) for t in (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none, pa.array([group.number] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], COUNTED_NAMES)
+
         for batch in batches:
-            sizes, keys, firsts, sets = [], [], [], []
+            kind = batch.column(0).type
             for part in slices(batch.column(1)):
                 hashes, bounds = shingle_sets(part, size)
-                rank = np.full(len(hashes), 3, np.int64)
-                counted = hashes < COUNTED
-                rank[counted] = sketch.estimate(counters.value, hashes[counted]).astype(np.int64) - 1
-                at = sketch.among(heavy.value, hashes)
-                rank[at >= 0] = 4 + levels[at[at >= 0]]
-                single = np.concatenate([[0], np.cumsum(rank <= 0)])
-                for r in range(part.rows):
-                    own, ranks = hashes[bounds[r] : bounds[r + 1]], rank[bounds[r] : bounds[r + 1]]
-                    n = len(own)
-                    sizes.append(n)
-                    data = own.tobytes()
-                    keys.append(hashlib.blake2b(data, digest_size=16).digest())
-                    first = n - -(-percent * n // 100) + 1
-                    alone = single[bounds[r + 1]] - single[bounds[r]]
-                    if n == 0 or alone >= first:
-                        firsts.append(None)
-                        sets.append(None)
-                    else:
-                        by = np.argsort(ranks, kind="stable")[alone:first]
-                        firsts.append(own[by].view(np.int64))
-                        sets.append(data)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["doc_id", "text_key", "n", "class", "first", "set"],
-            )
+                n = np.diff(bounds)
+                keys = [_key(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                numbers = group.add(hashes, bounds, keys, n - -(-percent * n // 100) + 1)
+                own = [c.slice(part.first, part.rows) for c in (batch.column(0), batch.column(2))]
+                none = [pa.nulls(part.rows, t) for t in (pa.int64(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), *none], COUNTED_NAMES)
+                if group.full():
+                    yield lists(kind)
+                    made += 1
+                    group = postings.Group(task + made, shards)
+        if group.sets:
+            yield lists(kind)
 
     return run
 
 
+COUNTED_NAMES = ["doc_id", "text_key", "n", "class", "row", "g", "shard", "blob"]
+
+
+def _sets(size: int, wanted) -> callable:
+    """(key, text_key, set) of the documents whose key may be among the ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            may_be = np.flatnonzero(sketch.estimate(wanted.value, mix(keys.view(np.uint64))) > 0)
+            may_be = [at for at, key in zip(may_be.tolist(), zip(keys[may_be].tolist(), batch.column(1).take(pa.array(may_be)).to_pylist())) if not (key in seen or seen.add(key))]
+            if may_be:
+                batch = batch.take(pa.array(may_be))
+                sets = []
+                for part in slices(batch.column(2)):
+                    hashes, bounds = shingle_sets(part, size)
+                    sets += [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["key", "text_key", "set"])
+
+    return run
+
+
+def member_sets(texts: DataFrame, members: DataFrame, count: int, size: int) -> DataFrame:
+    """``count`` members (key, text_key and others) with the sets of their texts, which are made from ``texts`` (key, text_key, text)."""
+
+    def keys(batch):
+        yield mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+
+    cells = sketch.cells_for(count, 16)
+    wanted = texts.sparkSession.sparkContext.broadcast(sketch.build(members.select("key"), keys, cells)[0])
+    sets = texts.select("key", "text_key", "text").mapInArrow(_sets(size, wanted), "key long, text_key long, set binary")
+    full = stored(members.join(sets, ["key", "text_key"]).drop("key", "text_key"), "full")
+    wanted.destroy()
+    return full
+
+
 def _load(rows: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in rows["set"]]
 
@@ -250,6 +284,7 @@ def _whole_blocks(percent: int) -> callable:
 
 def _search_chunk(percent: int) -> callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["node", "asks"])
         asked = rows[rows["asks"]]
         held = rows[~rows["asks"]]
         index, nodes = Index(_load(held), percent), held["node"].to_numpy()
@@ -260,13 +295,14 @@ def _search_chunk(percent: int) -> callable:
     return run
 
 
-def _ask(queries: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
-    """Links of ``queries`` (node, block, parts, n, set) with all of their blocks, chunk by chunk."""
-    asked = stored(queries, "asked")
+def _ask(queries: DataFrame, chunks: DataFrame, percent: int, known: DataFrame | None) -> DataFrame:
+    """The ``known`` links, if any, and those of ``queries`` (node, block, parts, n, set) with all of their blocks, chunk by chunk."""
+    asked = queries = stored(queries, "asked")
     # each part of the queries costs a copy of the block's chunks: more than the memory asks for only to have some tasks
     n = F.sum("n")
     fair = F.least(F.ceil(n / (CHUNK // 8)), F.ceil(F.lit(TASKS) / F.max("parts")))
-    per_block = asked.groupBy("block").agg(F.greatest(F.ceil(n / CHUNK), fair).cast("int").alias("asks_in"))
+    # a row for each large block; were the rows dealt by block for this join, they would stay so for the search
+    per_block = F.broadcast(asked.groupBy("block").agg(F.greatest(F.ceil(n / CHUNK), fair).cast("int").alias("asks_in")))
     asked = (
         asked.join(per_block, "block")
         .withColumn("part", F.expr("pmod(xxhash64(node, 5), asks_in)").cast("int"))
@@ -275,23 +311,24 @@ def _ask(queries: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
     held = chunks.join(per_block, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("asks_in") - 1)))
     names = ["block", "chunk", "part", "node", "set"]
     both = asked.select(*names, F.lit(True).alias("asks")).union(held.select(*names, F.lit(False).alias("asks")))
-    return both.groupBy("block", "chunk", "part").applyInPandas(_search_chunk(percent), "a long, b long")
-
-
-def link_classes(sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """(node, root) of the classes that have first shingles in ``sets`` (row, class, n, first, set)."""
-    left = sets.filter("first is not null")
-    nodes = stored(left.groupBy("class").agg(F.min("row").alias("row")).select("row"), "nodes")
-    lists = left.select("row", "first").join(nodes, "row", "left_semi").select("row", F.explode("first").alias("shingle"))
-    pivots = lists.groupBy("shingle").agg(F.min("row").alias("pivot"), F.max("row").alias("top")).filter("top > pivot")
-    stars = lists.join(pivots.select("shingle", "pivot"), "shingle").filter("row != pivot")
-    blocks = stored(connected(stars.select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()), "blocks")
-    sized = blocks.join(sets.select("row", "n"), blocks.node == F.col("row")).groupBy("root").agg(F.sum("n").alias("total"))
-    sized = stored(sized.withColumn("parts", F.ceil(F.col("total") / chunk).cast("int")), "sized")
-    total = sized.filter("parts = 1").agg(F.sum("total")).first()[0] or 0
-    large = sized.filter("parts > 1").limit(1).count()
-    placed = blocks.join(sized, "root").select("node", F.col("root").alias("block"), "parts")
-    full = stored(placed.join(sets.select("row", "n", "set"), F.col("node") == F.col("row")).drop("row"), "full")
+    found = both.groupBy("block", "chunk", "part").applyInPandas(_search_chunk(percent), "a long, b long")
+    links = stored(found if known is None else known.union(found), "answers")
+    drop_stored(queries)
+    return links
+
+
+def link_classes(documents: DataFrame, blocks: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """(node, root) of the classes of ``documents`` (key, text_key, n, class, row) that are linked to others of their block (row, root)."""
+    # equal sets are in one block; a block of one class needs no search
+    members = documents.join(blocks, "row").groupBy("class").agg(F.min(F.struct("row", "key", "text_key", "n", "root")).alias("one"))
+    members = members.select(F.col("one.row").alias("node"), "one.key", "one.text_key", "one.n", F.col("one.root").alias("block"))
+    sized = members.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).filter("classes > 1")
+    placed = members.join(sized.select("block", F.ceil(F.col("total") / chunk).cast("int").alias("parts")), "block")
+    placed = stored(placed, "placed")
+    count, total, large = placed.agg(F.count("*"), F.sum(F.when(F.col("parts") == 1, F.col("n"))), F.max(F.col("parts") > 1)).first()
+    full = member_sets(texts, placed, count, size)
+    drop_stored(placed)
+    total = total or 0
     bins = max(1, -(-int(total) // chunk))
     whole = (
         full.filter("parts = 1")
@@ -299,53 +336,54 @@ def link_classes(sets: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) ->
         .groupBy("bin")
         .applyInPandas(_whole_blocks(percent), "a long, b long")
     )
-    found = stored(whole, "linked")
+    found = whole
     if large:
         chunks = full.filter("parts > 1").withColumn("chunk", F.expr("pmod(xxhash64(node, 3), parts)").cast("int"))
-        links = stored(chunks.select(F.col("node").alias("a"), F.col("node").alias("b")), "self")
+        links = None
         for turn in range(HUB_ROUNDS):
-            met = links.filter("a != b").select("a").union(links.filter("a != b").select("b")).distinct()
-            free = chunks.join(met, chunks.node == met.a, "left_anti").select("block", "node", F.xxhash64("node", F.lit(turn)).alias("h"))
+            free = chunks
+            if links is not None:
+                met = links.select("a").union(links.select("b")).distinct()
+                free = chunks.join(met, chunks.node == met.a, "left_anti")
+            free = free.select("block", "node", F.xxhash64("node", F.lit(turn)).alias("h"))
             free = free.groupBy("block", F.pmod("h", F.lit(HUBS)).alias("hub")).agg(F.min_by("node", "h").alias("node"))
             hubs = chunks.join(free, ["block", "node"], "left_semi").select("node", "block", "parts", "n", "set")
-            links = stored(links.union(_ask(hubs, chunks, percent)), "hubs")
-        groups = connected(links)
-        groups = chunks.select("node", "block").join(groups, "node")
+            links = _ask(hubs, chunks, percent, links)
+        linked = connected(links, alone=False)
+        groups = chunks.select("node", "block").join(linked, "node", "left").select("node", "block", F.coalesce("root", "node").alias("root"))
         counts = groups.groupBy("block", "root").agg(F.count("*").alias("c"))
         top = counts.groupBy("block").agg(F.max(F.struct("c", "root")).alias("top")).select("block", F.col("top.root").alias("root"))
         rest = groups.join(top, ["block", "root"], "left_anti").select("node")
-        links = stored(links.union(_ask(chunks.join(rest, "node", "left_semi").select("node", "block", "parts", "n", "set"), chunks, percent)), "asked")
-        found = found.union(connected(links).select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        known = linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        links = _ask(chunks.join(rest, "node", "left_semi").select("node", "block", "parts", "n", "set"), chunks, percent, known)
+        found = found.union(connected(links, alone=False).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = stored(found.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+    drop_stored(full)
+    return found
 
 
-def components(
-    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, max_sketch_bytes: int = sketch.MAX_BYTES, chunk: int = CHUNK
-) -> DataFrame:
+def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_shingles, component (a name) and component_id of every row.
 
     Runs its jobs when called.
     """
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    text_key = F.xxhash64("text")
+    texts = docs.select("doc_id", "text", text_key.alias("text_key"), F.xxhash64("doc_id", text_key).alias("key"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-    def counted(batch):
-        for part in slices(batch.column(0)):
-            hashes, _ = shingle_sets(part, size)
-            yield hashes[hashes < COUNTED]
-
-    context = docs.sparkSession.sparkContext
-    cells = sketch.cells_for(total // BYTES_PER_WORD // 2, 4, max_sketch_bytes)
-    shared = [context.broadcast(x) for x in sketch.build(texts.select("text"), counted, cells, HEAVY)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = texts.mapInArrow(_sets(size, percent, *shared), f"doc_id {kind}, text_key long, n long, class binary, first array<long>, set binary")
-    sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-    for one in shared:
-        one.destroy()
-    roots = link_classes(sets, percent, chunk)
+    counted = texts.select("doc_id", "text", "text_key").mapInArrow(
+        _counted(size, percent, postings.shards_for(total // BYTES_PER_WORD)),
+        f"doc_id {kind}, text_key long, n long, class binary, row long, g long, shard int, blob binary",
+    )
+    counted = stored(counted, "counted")
+    sets = stored(counted.filter("row is not null").select("doc_id", "text_key", "n", "class", "row"), "sets")
+    stars = postings.stars(counted.filter("g is not null").select("g", "shard", "blob"))
+    drop_stored(counted)
+    blocks = connected(stars, alone=False).withColumnRenamed("node", "row")
+    drop_stored(stars)
+    roots = link_classes(sets.withColumn("key", F.xxhash64("doc_id", "text_key")), blocks, texts, size, percent, chunk)
     # classes, then the components' smallest ids
-    node = F.min(F.when(F.col("first").isNotNull(), F.col("row")))
-    classes = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), node.alias("node"))
+    classes = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("row").alias("node"))
     classes = stored(classes.join(roots, "node", "left").select("class", "least", "root"), "classes")
     joined = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
     name = F.coalesce(F.col("root").cast("string"), F.hex("class"))
