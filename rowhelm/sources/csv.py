@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowhelm.functions.scalars import quoted
-from rowhelm.sources.dates import folded_masks, format_mask, format_of
+from rowhelm.sources.dates import DATE_FORMATS, folded_masks, format_mask, format_of, mask_of
 
 # Texts that stand for a missing value.
 MISSING_TEXTS = [
@@ -75,6 +76,10 @@ _TYPES = {"bigint": INTEGER_TEXT, "double": DOUBLE_TEXT, "boolean": BOOLEAN_TEXT
 _FIRST = {"bigint": "+-0123456789", "double": "+-.0123456789iI", "boolean": "tTfF"}
 
 
+# Rows that are looked at for everything, before all rows are for what these leave.
+HEAD = 1000
+
+
 def type_mask(column: Column) -> Column:
     """Bit j is set if the text is of the j-th of the inferred types; a whole number is a double as well."""
     bits = F.lit(0).cast("bigint")
@@ -89,6 +94,31 @@ def _type_and_date_mask(column: Column) -> Column:
     return type_mask(column).bitwiseOR(F.shiftleft(format_mask(column), len(_TYPES)))
 
 
+def _mask_of(column: Column, bits: int) -> Column:
+    """``_type_and_date_mask`` with the given bits alone, by the work that these need."""
+    names = list(_TYPES)
+    none = F.lit(0).cast("bigint")
+    one = {n: F.when(column.rlike(_TYPES[n]) & column.try_cast(n).isNotNull(), F.lit(1 << j).cast("bigint")).otherwise(none) for j, n in enumerate(names) if bits >> j & 1}
+    mask = reduce(Column.__add__, one.values(), none)
+    if bits & 3 == 3:
+        # what a number is spelt like by Spark is a whole number and a double, and is found out without a pattern
+        whole = F.coalesce(column.try_cast("bigint").cast("string") == column, F.lit(False))
+        mask = F.when(whole, F.lit(3).cast("bigint")).otherwise(mask)
+    if formats := bits >> len(names):
+        mask = mask.bitwiseOR(F.shiftleft(mask_of(column, formats), len(names)))
+    return F.when(column.isNotNull(), mask)
+
+
+def _folded(tables: dict[str, DataFrame], left: dict[str, list[int]]) -> dict[str, list[tuple[int, int, int | None]]]:
+    """(rows, filled rows, the bits that all filled ones have) of each column, of the bits that are ``left``. One job over all rows."""
+    frames = []
+    for name, df in tables.items():
+        found = [c for k, (column, bits) in enumerate(zip(df.columns, left[name])) for c in (F.count(F.col(quoted(column))).alias(f"f{k}"), F.bit_and(_mask_of(F.col(quoted(column)), bits)).alias(f"m{k}"))]
+        each = [F.struct(F.col("n"), F.col(f"f{k}").alias("filled"), F.col(f"m{k}").alias("mask")) for k in range(len(df.columns))]
+        frames.append(df.agg(F.count(F.lit(1)).alias("n"), *found).select(F.lit(name).alias("dataset"), F.array(*each).alias("columns")))
+    return {row["dataset"]: [tuple(c) for c in row["columns"]] for row in reduce(DataFrame.unionByName, frames).collect()}
+
+
 def _inferred_type(n: int, filled: int, mask: int | None) -> str:
     if filled == 0:
         return "double"
@@ -99,17 +129,27 @@ def _inferred_type(n: int, filled: int, mask: int | None) -> str:
 
 
 def infer_tables(tables: dict[str, DataFrame]) -> dict[str, dict[str, tuple[str, str | None]]]:
-    """Type and date format of every column of all-text tables, from one job over all of them.
+    """Type and date format of every column of all-text tables, from two jobs over all of them.
 
     A column is of a type, or of a format, if all its values are: each value has a mask of what it can be, and the
-    masks of a column are folded by ``bit_and``. The format is None unless the type is string. An empty column is
-    a double.
+    masks of a column are folded by ``bit_and``. What the first rows rule out is not looked for in the others, all of
+    which are read. The format is None unless the type is string. An empty column is a double.
     """
     found = {name: dict.fromkeys(df.columns, ("double", None)) for name, df in tables.items()}
-    for row in folded_masks({name: (df, df.columns) for name, df in tables.items()}, _type_and_date_mask).collect():
-        kind = _inferred_type(row["n"], row["filled"], row["mask"])
-        date = format_of(row["mask"] >> len(_TYPES)) if kind == "string" else None
-        found[row["dataset"]][row["column"]] = (kind, date)
+    tables = {name: df for name, df in tables.items() if df.columns}
+    if not tables:
+        return found
+    left = {name: [-1] * len(df.columns) for name, df in tables.items()}
+    heads = {name: (df.limit(HEAD), df.columns) for name, df in tables.items()}
+    for row in folded_masks(heads, _type_and_date_mask).collect():
+        if row["mask"] is not None:
+            left[row["dataset"]][tables[row["dataset"]].columns.index(row["column"])] = row["mask"]
+    every = (1 << len(_TYPES) + len(DATE_FORMATS)) - 1
+    left = {name: [bits & every for bits in columns] for name, columns in left.items()}
+    for name, columns in _folded(tables, left).items():
+        for column, (n, filled, mask) in zip(tables[name].columns, columns):
+            kind = _inferred_type(n, filled, mask)
+            found[name][column] = (kind, format_of(mask >> len(_TYPES)) if kind == "string" else None)
     return found
 
 

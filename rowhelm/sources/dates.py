@@ -74,6 +74,9 @@ _BEGINNINGS = (r"^\d{4}", r"^\d{8}", r"^\d{1,2}/", r"^\d{1,2}-", r"^\d{1,2} ", "
 # What the texts of all formats begin with; numbers and words fail here after few characters.
 _BEGINS_AS_DATE = r"^(\d{4}[-/.]\d|\d{8}|\d{1,2}([-/]\d|[- ][A-Z])|[A-Z][a-z]{2,8},? \d)"
 
+# So many formats are looked at in compiled code.
+FEW_FORMATS = 4
+
 # No date is longer; other texts are ruled out before any pattern is tried.
 LONGEST_DATE = 40
 
@@ -92,6 +95,19 @@ def _offset(column: Column) -> Column:
     return F.make_dt_interval(secs=F.coalesce(F.when(sign == "-", -seconds).otherwise(seconds), F.lit(0)))
 
 
+def is_of(column: Column, name: str) -> Column:
+    """Whether the text is of the format; the usual spelling with slashes is looked at as an ISO day, which is cast faster than a pattern is parsed."""
+    slow = F.coalesce(_parsed(column, name).isNotNull(), F.lit(False))
+    slashed = re.fullmatch(r"(M/d|d/M)/yyyy( H:mm(:ss)?)?", name)
+    if not slashed:
+        return slow
+    clock = {None: "", " H:mm": r" ([01]\d|2[0-3]):[0-5]\d", " H:mm:ss": r" ([01]\d|2[0-3]):[0-5]\d:[0-5]\d"}[slashed[2]]
+    month, day = (1, 4) if slashed[1] == "M/d" else (4, 1)
+    iso = F.concat(F.substring(column, 7, 4), F.lit("-"), F.substring(column, month, 2), F.lit("-"), F.substring(column, day, 2))
+    usual = column.rlike(rf"^\d{{2}}/\d{{2}}/[1-9]\d{{3}}{clock}\z")
+    return F.when(usual, iso.try_cast("date").isNotNull()).otherwise(slow)
+
+
 def _parsed(column: Column, name: str) -> Column:
     """The moment (in UTC if the text has a zone), or NULL if the text is not of this format."""
     plain = F.regexp_replace(column, _ZONE + "$", "")
@@ -150,6 +166,16 @@ def format_mask(column: Column) -> Column:
     return F.when(column.isNotNull(), F.when(may_be, fits).otherwise(none))
 
 
+def mask_of(column: Column, formats: int) -> Column:
+    """``format_mask`` with the bits of ``formats`` alone."""
+    none = F.lit(0).cast("bigint")
+    names = [(j, name) for j, name in enumerate(DATE_FORMATS) if formats >> j & 1]
+    if len(names) > FEW_FORMATS:
+        return format_mask(column).bitwiseAND(F.lit(formats).cast("bigint"))
+    bits = [F.when(is_of(column, name), F.lit(1 << j).cast("bigint")).otherwise(none) for j, name in names]
+    return F.when(column.isNotNull(), reduce(Column.__add__, bits, none))
+
+
 def format_of(mask: int | None) -> str | None:
     """The first format that is left in a folded mask."""
     return next((name for j, name in enumerate(DATE_FORMATS) if mask and mask >> j & 1), None)
