@@ -290,7 +290,13 @@ def _search_chunk(percent: int) -> callable:
         index, nodes = Index(_load(held), percent), held["node"].to_numpy()
         place = {node: k for k, node in enumerate(nodes.tolist())}
         pairs = [(node, nodes[k]) for node, own in zip(asked["node"].tolist(), _load(asked)) for k in index.search(own, place.get(node, -1))]
-        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+        if not pairs:
+            return pd.DataFrame(columns=["a", "b"], dtype="int64")
+        # a link for each node will do, since only components are asked for
+        names, at = np.unique(np.array(pairs, np.int64), return_inverse=True)
+        at = at.reshape(-1, 2)
+        root = names[postings.least_reached(len(names), at[:, 0], at[:, 1])]
+        return pd.DataFrame({"a": names, "b": root})[names != root]
 
     return run
 
